@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import op4_url_filters
+from . import op1_best_fit_packing, op4_url_filters
 
-QUERIES = {"op4_url_filters": op4_url_filters.op4_url_filters}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing.op1_best_fit_packing,
+    "op4_url_filters": op4_url_filters.op4_url_filters,
+}
 ORACLE_SQL = {"op4_url_filters": op4_url_filters.ORACLE}
