@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_best_fit_packing, op4_url_filters
+from . import op1_best_fit_packing, op4_url_filters, op7_benchmark_decontamination, op9_quality_classifier
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing.op1_best_fit_packing,
     "op4_url_filters": op4_url_filters.op4_url_filters,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination.op7_benchmark_decontamination,
+    "op9_quality_classifier": op9_quality_classifier.op9_quality_classifier,
 }
 ORACLE_SQL = {"op4_url_filters": op4_url_filters.ORACLE}
