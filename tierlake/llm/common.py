@@ -43,14 +43,37 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+#: Spark drops the shuffle files of a query when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame) -> DataFrame:
     """Write df to a shared table and read it back: later steps and lost executors start from the files."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null doc_id in keys; it counts as the smallest.
+NULL_ID = -(2**63)
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """k (doc_id; null: NULL_ID), h (31 bits of a hash of the text) and text: rows with equal k and h count as one document."""
+    t = docs[text]
+    return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("k"), (F.xxhash64(t).bitwiseAND(F.lit(0x7FFFFFFF))).alias("h"), t.alias("text"))
+
+
+def real_id(k: str = "k"):
+    """doc_id again."""
+    return F.nullif(F.col(k), F.lit(NULL_ID))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -86,10 +109,6 @@ def longs(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(column)).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
-def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type) for n in schema.names for c in [columns[n]]], schema=schema)
-
-
 # --------------------------------------------------------------------------
 # Words and hashes
 
@@ -196,6 +215,11 @@ def row_of(offs: np.ndarray) -> np.ndarray:
 def conf_text_batches(spark: SparkSession) -> None:
     """Arrow batches of few long texts, for small memory in the workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def as_long(h: np.ndarray) -> np.ndarray:

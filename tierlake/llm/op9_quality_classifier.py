@@ -91,12 +91,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> DataFrame:
     """The bounded training sample: doc_id, quality, text."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    fit = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    ids = known.join(fit.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    fit = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where(F.octet_length("text") <= size)
+    ids = known.join(fit.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return fit.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text")
 
 

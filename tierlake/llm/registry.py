@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import op1_best_fit_packing, op4_url_filters, op7_benchmark_decontamination, op9_quality_classifier
+from . import op1_best_fit_packing, op3_suffix_array_dedup, op4_url_filters, op5_quality_rules, op7_benchmark_decontamination, op8_substring_dedup, op9_quality_classifier
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing.op1_best_fit_packing,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup.op3_suffix_array_dedup,
     "op4_url_filters": op4_url_filters.op4_url_filters,
+    "op5_quality_rules": op5_quality_rules.op5_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination.op7_benchmark_decontamination,
+    "op8_substring_dedup": op8_substring_dedup.op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier.op9_quality_classifier,
 }
 ORACLE_SQL = {"op4_url_filters": op4_url_filters.ORACLE}
