@@ -74,6 +74,11 @@ def real_id(k: str = "k"):
     return F.nullif(F.col(k), F.lit(NULL_ID))
 
 
+def once(column):
+    """The column as it is, worked out once a row: filters and lambdas above can't take its expression in and repeat it."""
+    return F.explode(F.array(column))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

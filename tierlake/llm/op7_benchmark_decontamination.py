@@ -188,11 +188,8 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, score, first_word, n_words: every document with a passage that aligns with a test item."""
-    conf_text_batches(docs.sparkSession)
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    out = docs.sparkSession.createDataFrame([], LEAKS)
+def seeded_blocks(own: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
+    """The blocks with their seeds, by the frequencies of their words in all documents."""
     for items in blocks(benchmark):
         block = Block(items)
         words = block.vocabulary
@@ -204,9 +201,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             else:
                 counts[at] = n
         block.seed(counts, total)
+        yield block
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, score, first_word, n_words: every document with a passage that aligns with a test item."""
+    conf_text_batches(docs.sparkSession)
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    out = docs.sparkSession.createDataFrame([], LEAKS)
+    for block in seeded_blocks(own, benchmark):
         out = out.unionByName(own.mapInArrow(lambda it, block=block: _leaks(it, block), LEAKS))
     return out
 
 
+def _clean(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
+    for batch, data, offs in slices(batches, "text"):
+        keep = np.ones(batch.num_rows, bool)
+        keep[[d for d, *_ in leaks_of(block, data, offs)]] = False
+        yield batch.filter(pa.array(keep))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, all columns, that hold no passage of a test item."""
+    conf_text_batches(docs.sparkSession)
+    out = docs
+    for block in seeded_blocks(docs.select(docs["text"].alias("text")), benchmark):
+        out = out.mapInArrow(lambda it, block=block: _clean(it, block), docs.schema)
+    return out
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
