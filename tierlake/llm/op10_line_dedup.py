@@ -75,15 +75,15 @@ def near_links(distinct: DataFrame) -> DataFrame:
     """k, h, no of distinct lines (l1, l2, k, h, no, line) with an earlier line within one edit, verified."""
     long = distinct.select("l1", "l2", once(words_of()).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= MIN_WORDS)
     halves = long.select("l1", "l2", F.explode(F.expr(_HALVES)).alias("x")).select("l1", "l2", "x.bit", "x.half")
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
+    shared = settle(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"))
     bits = settle(halves.join(shared, "half").groupBy("l1", "l2").agg(F.bit_or("bit").alias("bits")))
     some = settle(distinct.join(bits, ["l1", "l2"]).select("k", "h", "no", "line", "bits"))
 
     sums = some.withColumn("w", once(words_of())).select("k", "h", "no", "bits", F.size("w").alias("n"), F.expr(_SUMS.format(d=0)).alias("before"), F.expr(_SUMS.format(d=1)).alias("after"))
     variants = settle(sums.select("k", "h", "no", F.explode(F.expr(f"concat({_DELETIONS}, {_WHOLE})")).alias("x")).select("k", "h", "no", "x.key", "x.whole"))
-    groups = variants.groupBy("key").agg(
+    groups = settle(variants.groupBy("key").agg(
         F.count("*").alias("c"), F.min(F.expr(PLACE)).alias("least"), F.min(F.expr(f"CASE WHEN whole THEN {PLACE} END")).alias("centre"),
-    ).where("c > 1")
+    ).where("c > 1"))
     # a group with a centre is around it: its lines are near the centre, the centre is near all of them
     aim = F.expr("CASE WHEN centre IS NULL OR whole THEN least ELSE centre END")
     links = variants.join(groups, "key").withColumn("aim", aim).where(f"aim < {PLACE}")

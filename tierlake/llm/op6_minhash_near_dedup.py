@@ -165,7 +165,7 @@ def classes(own: DataFrame) -> DataFrame:
     rep = signed.where("t1 != 0 or t2 != 0").groupBy("t1", "t2").agg(F.min(F.struct("k", "h")).alias("one"), F.first("bands").alias("bands"))
     rep = settle(rep.withColumn("id", F.xxhash64("t1", "t2")))
     buckets = rep.select("id", F.explode("bands").alias("band"))
-    crowded = buckets.groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("least")).where("c > 1")
+    crowded = settle(buckets.groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("least")).where("c > 1"))
     members = settle(buckets.join(crowded, "band"))
     tested = settle(members.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
 

@@ -146,7 +146,7 @@ def repeats_in(batch: DataFrame, index: FingerprintIndex, documents: DataFrame)
     every = new.withColumn("age", F.lit(1)) if past is None else past.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
     every = settle(every) if past is not None else every
     stats = every.groupBy("anchor").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
-    several = stats.where("low != high").select("anchor")
+    several = settle(stats.where("low != high").select("anchor"))
 
     # a segment's later occurrences go whole; its first one in the batch too, if history has it
     first = every.groupBy("anchor", "segment").agg(F.min(F.expr(PLACE)).alias("first"))
@@ -157,7 +157,7 @@ def repeats_in(batch: DataFrame, index: FingerprintIndex, documents: DataFrame)
     one = every.join(several, "anchor").groupBy("anchor", "segment").agg(F.min(F.expr(PLACE)).alias("place"), F.first("n").alias("n"), F.min("age").alias("age"))
     lists = per_document(_flat(one), "lo", "n")
     windows = settle(documents.join(lists, ["k", "h"]).mapInArrow(_windows, WINDOWS_SQL))
-    earliest = windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.expr(PLACE)).alias("first")).where("c > 1").select("w1", "w2", "first")
+    earliest = settle(windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.expr(PLACE)).alias("first")).where("c > 1").select("w1", "w2", "first"))
     later = windows.join(earliest, ["w1", "w2"]).where(F.expr(f"{PLACE} != first")).select("k", "h", "lo", F.lit(1).cast("long").alias("n"))
 
     spans = settle(whole.unionByName(later))

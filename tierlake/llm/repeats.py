@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 ANCHORS = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
 ANCHORS_SQL = "anchor long, segment long, k long, h long, lo long, n long"
 
 
 def repeated(anchors: DataFrame) -> DataFrame:
     """The occurrences of anchors that occur more than once, with `several`: the anchor has more than one segment."""
-    found = anchors.groupBy("anchor").agg(F.count("*").alias("c"), F.min("segment").alias("low"), F.max("segment").alias("high")).where("c > 1")
+    found = settle(anchors.groupBy("anchor").agg(F.count("*").alias("c"), F.min("segment").alias("low"), F.max("segment").alias("high")).where("c > 1"))  # written first: a join with what is being grouped couldn't split a hot anchor
     return anchors.join(found.select("anchor", (F.col("low") != F.col("high")).alias("several")), "anchor")
 
 
