@@ -59,6 +59,25 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """settle() for tables that are dropped together when no one reads them any more: disk follows a step, not the whole job."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        out = settle(df)
+        self.paths += {f.rsplit("/", 1)[0] for f in out.inputFiles()}
+        return out
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = []
+
+
 #: Stands for a null doc_id in keys; it counts as the smallest.
 NULL_ID = -(2**63)
 

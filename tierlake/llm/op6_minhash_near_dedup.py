@@ -14,12 +14,12 @@ sets, J_P >= SIMILARITY, and the verified links' connected components are the
 classes.
 
 Groups: equal texts are one text first. Within a band's bucket no pairs are
-emitted: every member is compared with the bucket's representative, its least
-text. What verifies is one class; a bucket whose members are all in one class
-needs nothing more. In the others, each round compares the members with four
-times as many representatives as the round before, always across classes alone,
-until no pair of different classes is untested: no link is lost, and copies cost
-one comparison each.
+emitted: every member is compared with the bucket's representative, its most
+popular text. What verifies is one class; a bucket whose members are all in one
+class needs nothing more. Members of the other buckets are compared across
+classes, as far as they share one of their rarest shingles, which every similar
+pair does (rare_shingles): no link is lost, copies cost one comparison each, and
+a passage that many texts share makes no pairs.
 
 Defined cases: null, empty and shorter texts than SHINGLE words have no shingles;
 they are near none but rows with an equal text, if it has a word. Each row has
@@ -44,7 +44,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-GROWTH = 4
 #: Arrivals drawn in one step, at least.
 DRAWS = 20_000
 
@@ -158,6 +157,56 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").mapInPandas(_verify, "a long, b long")
 
 
+CELLS = 1 << 18
+
+
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """id, shingle: each text's rarest shingles, as few as hold more than 1 - SIMILARITY of its weight.
+
+    J_P is at most the common part of the texts' weights, so at least SIMILARITY
+    of either text's weight is common to a similar pair; with one order of rarity
+    for all, the rarest common shingle is then among these of both. The order is
+    by counts in CELLS cells (a table of fixed size, whatever the corpus), then by hash.
+    """
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                n += np.bincount((np.frombuffer(raw, "<u8") >> U64(46)).astype(np.int64), minlength=CELLS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["cell", "n"])
+
+    counts = np.zeros(CELLS, np.int64)
+    for cell, n in sets.select("shingles").mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        counts[cell] = n
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for key, raw, heavy in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                shingle, weight = np.frombuffer(raw, "<u8"), np.frombuffer(heavy, "<u4").astype(float)
+                order = np.lexsort((shingle, counts[(shingle >> U64(46)).astype(np.int64)]))
+                mass = np.cumsum(weight[order])
+                few = order[: int(np.searchsorted(mass, (1 - SIMILARITY + 1e-9) * weight.sum(), "right")) + 1]
+                ids.append(np.full(len(few), key))
+                found.append(as_long(shingle[few].copy()))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], names=["id", "shingle"])
+
+    return sets.select("id", "shingles", "weights").mapInArrow(rarest, "id long, shingle long")
+
+
+def across(rare: DataFrame) -> DataFrame:
+    """a, b: texts of different classes that share a rare shingle (id, root, shingle); members of a shingle's largest class aren't compared with each other."""
+    rare = settle(rare)
+    several = rare.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
+    rare = settle(rare.join(settle(several.select("shingle", "largest")), "shingle"))
+    other = rare.select("shingle", F.col("id").alias("id2"), F.col("root").alias("root2"))
+    both = rare.where("root != largest").join(other, "shingle").where("root != root2")
+    return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def classes(own: DataFrame) -> DataFrame:
     """k, h, class_k, class_h: every document (as keyed() gives them) with the least one of its class."""
     signed = settle(own.mapInArrow(_sign, SIGNED_SQL))
@@ -165,33 +214,25 @@ def classes(own: DataFrame) -> DataFrame:
     rep = signed.where("t1 != 0 or t2 != 0").groupBy("t1", "t2").agg(F.min(F.struct("k", "h")).alias("one"), F.first("bands").alias("bands"))
     rep = settle(rep.withColumn("id", F.xxhash64("t1", "t2")))
     buckets = rep.select("id", F.explode("bands").alias("band"))
-    crowded = settle(buckets.groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("least")).where("c > 1"))
+    crowded = settle(buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
     members = settle(buckets.join(crowded, "band"))
-    tested = settle(members.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
+    # a bucket's representative is its most popular member, the one that shares most bands with most texts: in a group of copies, mostly what they were copied from
+    popular = settle(members.groupBy("id").agg(F.sum("c").alias("popular")))
+    heads = settle(members.select("id", "band").join(popular, "id").groupBy("band").agg(F.max_by("id", F.struct("popular", "id")).alias("head")))
+    tested = settle(members.join(heads, "band").where("id != head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
 
     places = rep.join(members.select("id").distinct(), "id", "left_semi").select("id", "one.k", "one.h")
     sets = settle(own.join(places, ["k", "h"]).select("id", "text").mapInArrow(_sets, "id long, shingles binary, weights binary"))
     links = settle(verified(tested, sets))
     roots = components(links, "a", "b")
-    width = 1
-    while True:
-        # In buckets with several classes, members outside the largest class meet a growing share of all others, across classes alone.
-        placed = members.select("band", "id", "c").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = placed.where(F.col("c") > width).groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
-        crossing = settle(placed.join(mixed.select("band", "largest"), "band"))
-        if crossing.isEmpty():
-            break
-        width *= GROWTH
-        share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 20) < F.lit(width) / F.col("c")
-        leads = crossing.where(share).select("band", F.col("id").alias("lead"), F.col("root").alias("lead_root"))
-        wide = crossing.where("root != largest").join(leads, "band").where("lead_root != root")
-        pairs = settle(wide.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            more = settle(verified(pairs, sets))
-            if not more.isEmpty():
-                links = settle(links.unionByName(more))
-                roots = components(links, "a", "b")
-            tested = settle(tested.unionByName(pairs))
+    # Buckets whose members are in several classes: across these classes, all pairs that could be similar enough
+    placed = members.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = settle(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band"))
+    crossing = settle(placed.join(mixed, "band").select("id", "root").distinct())
+    pairs = settle(across(rare_shingles(sets).join(crossing, "id")).join(tested, ["a", "b"], "left_anti"))
+    more = settle(verified(pairs, sets))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), "a", "b")
     named = rep.join(roots.withColumnRenamed("node", "id"), "id", "left").select("t1", "t2", "one", F.coalesce("root", "id").alias("root"))
     texts = settle(named.join(named.groupBy("root").agg(F.min("one").alias("class")), "root").select("t1", "t2", "class"))
     return signed.join(texts, ["t1", "t2"], "left").select("k", "h", F.coalesce("class.k", "k").alias("class_k"), F.coalesce("class.h", "h").alias("class_h"))

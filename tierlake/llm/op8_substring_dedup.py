@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchored, covered
-from .common import Rolling, as_long, batch_of, conf_text_batches, keyed, longs, partitions, ranges, real_id, scratch, settle, slices, table, word_hashes, words
+from .common import Rolling, Tables, as_long, batch_of, conf_text_batches, keyed, longs, partitions, ranges, real_id, scratch, settle, slices, table, word_hashes, words
 from .repeats import ANCHORS, ANCHORS_SQL, per_document, span_lists
 
 WINDOW = 20
 K = 5
-BATCHES = 3
+BATCHES = 2
 FAN_IN = 4
 
 #: A place in the corpus that orders as "earlier" does.
@@ -108,15 +108,6 @@ class FingerprintIndex:
         self.levels = [[]]
 
 
-def firsts(anchors: DataFrame) -> DataFrame:
-    """One row per anchor and segment: its first place, and n."""
-    return anchors.groupBy("anchor", "segment").agg(F.min(F.expr(PLACE)).alias("place"), F.first("n").alias("n"))
-
-
-def _flat(df: DataFrame) -> DataFrame:
-    return df.select("anchor", "segment", "place.k", "place.h", "place.lo", "n")
-
-
 def batches_of(own: DataFrame, n: int) -> list[DataFrame]:
     """Documents in n batches by increasing key; equal keys stay together."""
     cuts = own.select(F.percentile_approx("k", [i / n for i in range(1, n)], 1000)).head()[0] if n > 1 else None
@@ -136,33 +127,45 @@ def repeats_in(batch: DataFrame, index: FingerprintIndex, documents: DataFrame)
 
     documents: where the text of a run's entries is found, the batch included.
     """
-    anchors = settle(batch.mapInArrow(_anchors, ANCHORS_SQL))
-    new = settle(_flat(firsts(anchors)))
-    past = None
-    for run in index.runs():
-        own = new.select("anchor").distinct()
-        hits = run.join(own, "anchor", "left_semi")
+    tables = Tables(batch.sparkSession)
+    anchors = tables.settle(batch.mapInArrow(_anchors, ANCHORS_SQL))
+    again = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    past, runs = None, index.runs()
+    for run in runs:
+        hits = run.join(anchors.select("anchor"), "anchor", "left_semi")
         past = hits if past is None else past.unionByName(hits)
-    every = new.withColumn("age", F.lit(1)) if past is None else past.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
-    every = settle(every) if past is not None else every
-    stats = every.groupBy("anchor").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
-    several = settle(stats.where("low != high").select("anchor"))
+    if past is None:
+        touched = tables.settle(again)
+    else:
+        past = tables.settle(past)
+        touched = tables.settle(again.unionByName(past.select("anchor")).distinct())
+    # most anchors occur once, here and in history: they go to the index as they are
+    tagged = tables.settle(anchors.join(touched.withColumn("touched", F.lit(True)), "anchor", "left"))
+    mine, alone = tagged.where("touched").drop("touched"), tagged.where("touched is null").drop("touched")
+
+    own = mine.groupBy("anchor", "segment").agg(F.count("*").alias("c"), F.min(F.expr(PLACE)).alias("place"), F.first("n").alias("n"))
+    if past is None:
+        every = own.withColumn("first", F.col("place"))
+    else:
+        old = past.select("anchor", "segment", F.expr(PLACE).alias("first"), F.col("n").alias("n_old"))
+        every = own.join(old, ["anchor", "segment"], "full_outer").select("anchor", "segment", F.coalesce("c", F.lit(0)).alias("c"), "place", F.coalesce("n", "n_old").alias("n"), F.coalesce("first", "place").alias("first"), F.col("first").isNotNull().alias("known"))
+    every = tables.settle(every)
 
     # a segment's later occurrences go whole; its first one in the batch too, if history has it
-    first = every.groupBy("anchor", "segment").agg(F.min(F.expr(PLACE)).alias("first"))
-    again = settle(anchors.groupBy("anchor", "segment").agg(F.count("*").alias("c"), F.min(F.expr(PLACE)).alias("own")).join(first, ["anchor", "segment"]).where((F.col("c") > 1) | (F.col("own") != F.col("first"))).select("anchor", "segment", "first"))
-    whole = anchors.join(again, ["anchor", "segment"]).where(F.expr(f"{PLACE} != first")).select(*SPANS)
-
-    # windows one by one, for one copy of each segment of anchors that have several
-    one = every.join(several, "anchor").groupBy("anchor", "segment").agg(F.min(F.expr(PLACE)).alias("place"), F.first("n").alias("n"), F.min("age").alias("age"))
-    lists = per_document(_flat(one), "lo", "n")
-    windows = settle(documents.join(lists, ["k", "h"]).mapInArrow(_windows, WINDOWS_SQL))
-    earliest = settle(windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.expr(PLACE)).alias("first")).where("c > 1").select("w1", "w2", "first"))
+    repeats = tables.settle(every.where("c > 1 OR c > 0 AND place != first").select("anchor", "segment", "first"))
+    whole = mine.join(repeats, ["anchor", "segment"]).where(F.expr(f"{PLACE} != first")).select(*SPANS)
+
+    # windows one by one, for the first copy of each segment of anchors that have several
+    several = tables.settle(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
+    one = every.join(several, "anchor").select("first.k", "first.h", "first.lo", "n")
+    windows = tables.settle(documents.join(per_document(one, "lo", "n"), ["k", "h"]).mapInArrow(_windows, WINDOWS_SQL))
+    earliest = tables.settle(windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.expr(PLACE)).alias("first")).where("c > 1").select("w1", "w2", "first"))
     later = windows.join(earliest, ["w1", "w2"]).where(F.expr(f"{PLACE} != first")).select("k", "h", "lo", F.lit(1).cast("long").alias("n"))
 
-    spans = settle(whole.unionByName(later))
-    known = every.where("age = 0").select("anchor", "segment") if past is not None else None
-    index.append(new if known is None else new.join(known, ["anchor", "segment"], "left_anti"))
+    spans = settle(per_document(whole.unionByName(later), "lo", "n"))
+    firsts = every.where("c > 0" if past is None else "c > 0 AND NOT known").select("anchor", "segment", "place.k", "place.h", "place.lo", "n")
+    index.append(alone.unionByName(firsts))
+    tables.drop()
     return spans
 
 
@@ -201,7 +204,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches:
             spans = got if spans is None else spans.unionByName(got)
     finally:
         index.close()
-    lists = settle(per_document(spans, "lo", "n"))
+    lists = settle(spans.groupBy("k", "h").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     return own.join(lists, ["k", "h"], "left").mapInArrow(_kept, "k long, n_words long, n_removed long, kept binary")
 
 
