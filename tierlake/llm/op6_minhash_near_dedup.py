@@ -18,8 +18,9 @@ emitted: every member is compared with the bucket's representative, its most
 popular text. What verifies is one class; a bucket whose members are all in one
 class needs nothing more. Members of the other buckets are compared across
 classes, as far as they share one of their rarest shingles, which every similar
-pair does (rare_shingles): no link is lost, copies cost one comparison each, and
-a passage that many texts share makes no pairs.
+pair does (rare_shingles), and their sketches agree, which a pair at SIMILARITY
+misses with a probability of 0.0001: copies cost one comparison each, and a passage
+that many texts share makes no pairs.
 
 Defined cases: null, empty and shorter texts than SHINGLE words have no shingles;
 they are near none but rows with an equal text, if it has a word. Each row has
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Rolling, as_long, batch_of, conf_text_batches, keyed, longs, mix, real_id, settle, slices, table, word_hashes, words
+from .common import NULL_ID, U64, Rolling, as_long, batch_of, conf_text_batches, keyed, longs, mix, real_id, row_of, settle, slices, table, texts, word_hashes, words
 from .components import components
 
 SHINGLE = 5
@@ -64,10 +65,10 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row[at], grams[at], np.diff(np.append(at, len(row))), n
 
 
-def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
-    """(n_rows, COMPONENTS) signature; zero where a row has no shingles. All arrivals of a round are drawn at once."""
-    first = np.full(n_rows * COMPONENTS, np.inf)
-    owner = np.zeros(n_rows * COMPONENTS, U64)
+def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows: int, size: int = COMPONENTS) -> np.ndarray:
+    """(n_rows, size) signature; zero where a row has no shingles. All arrivals of a round are drawn at once."""
+    first = np.full(n_rows * size, np.inf)
+    owner = np.zeros(n_rows * size, U64)
     live = np.arange(len(row))
     time = np.zeros(len(row))
     drawn = 0
@@ -77,8 +78,8 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows:
         h = mix(shingle[live][None] + U64(0x9E3779B97F4A7C15) * (number << U64(1)))
         gap = -np.log(((h >> U64(11)).astype(float) + 0.5) * 2.0**-53) / weight[live]
         times = np.cumsum(np.concatenate([time[None], gap]), axis=0)[1:]
-        part = (mix(h ^ U64(0xD6E8FEB86659FD93)) >> U64(32)) * U64(COMPONENTS) >> U64(32)
-        cells = row[live][None] * COMPONENTS + part.astype(np.int64)
+        part = (mix(h ^ U64(0xD6E8FEB86659FD93)) >> U64(32)) * U64(size) >> U64(32)
+        cells = row[live][None] * size + part.astype(np.int64)
         early = np.flatnonzero((times < first[cells]).ravel())
         cell, when = cells.ravel()[early], times.ravel()[early]
         order = np.lexsort((when, cell))
@@ -87,18 +88,18 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows:
         win = order[lead]
         first[cell[win]] = when[win]
         owner[cell[win]] = shingle[live[early[win] % len(live)]]
-        limit = first.reshape(n_rows, COMPONENTS).max(1)
+        limit = first.reshape(n_rows, size).max(1)
         going = np.flatnonzero(times[-1] < limit[row[live]])
         live, time, drawn = live[going], times[-1][going], drawn + some
-    return owner.reshape(n_rows, COMPONENTS)
+    return owner.reshape(n_rows, size)
 
 
-SIGNED = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int8()))])
-SIGNED_SQL = "k long, h long, t1 long, t2 long, bands array<long>, sketch array<byte>"
+SIGNED = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SIGNED_SQL = "k long, h long, t1 long, t2 long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """t1, t2: 128 bits that stand for the text (0, 0: no words); bands: a hash per band, sketch: a byte per component, none without shingles."""
+    """t1, t2: 128 bits that stand for the text (0, 0: no words); bands: a hash per band, none without shingles."""
     for batch, data, offs in slices(batches, "text", 1 << 20):
         row, shingle, weight, n = shingles(data, offs)
         docs = len(n)
@@ -108,9 +109,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = mix(band * U64(0x9E3779B97F4A7C15) + signed[:, :, k])
         some = np.bincount(row, minlength=docs) > 0
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * BANDS)), pa.int32()), pa.array(as_long(band[some].reshape(-1))))
-        short = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * COMPONENTS)), pa.int32()), pa.array((signed[some].reshape(-1) >> U64(56)).astype(np.uint8).view(np.int8)))
         t1, t2 = (np.where(n > 0, as_long(Rolling(data, seed).spans(offs[:-1], offs[1:])), 0) for seed in (31, 32))
-        yield batch_of(SIGNED, longs(batch, "k"), longs(batch, "h"), t1, t2, lists, short)
+        yield batch_of(SIGNED, longs(batch, "k"), longs(batch, "h"), t1, t2, lists)
 
 
 SETS = pa.schema([("id", pa.int64()), ("shingles", pa.binary()), ("weights", pa.binary())])
@@ -159,12 +159,37 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 CELLS = 1 << 18
-#: Of COMPONENTS; a pair with J_P = 0.8 agrees in 96 on average and in fewer than this with a probability of 0.0001.
-AGREE = 80
+#: One bit of each of so many components: texts of similarity J have a bit in common with a probability of (1 + J) / 2.
+SKETCH = 1024
+#: A pair with J_P = 0.8 has 922 of them in common on average and fewer than this with a probability of 0.0001.
+AGREE = 886
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """id, sketch: SKETCH bits in longs."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, data, offs in slices([whole], "shingles", 1 << 20):
+                weight = texts(batch, "weights")[0].view("<u4").astype(float)
+                signed = signatures(row_of(offs // 8), data.view("<u8"), weight, len(offs) - 1, SKETCH)
+                packed = np.packbits((mix(signed) >> U64(63)).astype(np.uint8), axis=1).view("<i8")
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1) * packed.shape[1], pa.int32()), pa.array(packed.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(longs(batch, "id")), lists], names=["id", "sketch"])
+
+    return sets.select("id", "shingles", "weights").mapInArrow(bits, "id long, sketch array<long>")
+
+
+def loss(before: str) -> str:
+    """SQL of what a text adds to 2 / J_P at least, if so much of its weight is not common: J_P <= 2 / (loss of one + loss of the other)."""
+    return f"(1 + {before}) / (1 - {before})"
+
+
+MOST_LOSS = 2 / SIMILARITY + 1e-6
 
 
 def rare_shingles(sets: DataFrame) -> DataFrame:
-    """id, shingle: each text's rarest shingles, as few as hold more than 1 - SIMILARITY of its weight.
+    """id, shingle, before: each text's rarest shingles, as few as hold more than 1 - SIMILARITY of its weight; before: the share of its weight in rarer ones.
 
     J_P is at most the common part of the texts' weights, so at least SIMILARITY
     of either text's weight is common to a similar pair; with one order of rarity
@@ -186,7 +211,7 @@ def rare_shingles(sets: DataFrame) -> DataFrame:
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
+            ids, found, rarer = [], [], []
             for key, raw, heavy in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 shingle, weight = np.frombuffer(raw, "<u8"), np.frombuffer(heavy, "<u4").astype(float)
                 order = np.lexsort((shingle, counts[(shingle >> U64(46)).astype(np.int64)]))
@@ -194,20 +219,27 @@ def rare_shingles(sets: DataFrame) -> DataFrame:
                 few = order[: int(np.searchsorted(mass, (1 - SIMILARITY + 1e-9) * weight.sum(), "right")) + 1]
                 ids.append(np.full(len(few), key))
                 found.append(as_long(shingle[few].copy()))
+                rarer.append((mass - weight[order])[: len(few)] / weight.sum())
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], names=["id", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, found, rarer)], names=["id", "shingle", "before"])
 
-    return sets.select("id", "shingles", "weights").mapInArrow(rarest, "id long, shingle long")
+    return sets.select("id", "shingles", "weights").mapInArrow(rarest, "id long, shingle long, before double")
 
 
-def across(rare: DataFrame) -> DataFrame:
-    """a, b: texts of different classes that share a rare shingle (id, root, sketch, shingle) and agree in AGREE components; members of a shingle's largest class aren't compared with each other."""
+def across(rare: DataFrame, sketch: DataFrame) -> DataFrame:
+    """a, b: texts of different classes that share a rare shingle (id, root, shingle, before) and agree in AGREE bits; members of a shingle's largest class aren't compared with each other.
+
+    At a pair's first common shingle, what is rarer in either text is not common:
+    shingles at which that alone makes the pair unlike (loss) are passed over.
+    """
     rare = settle(rare)
-    several = rare.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
-    rare = settle(rare.join(settle(several.select("shingle", "largest")), "shingle"))
-    other = rare.select("shingle", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"))
-    agree = F.expr(f"size(filter(zip_with(sketch, sketch2, (x, y) -> x = y), z -> z)) >= {AGREE}")
-    both = rare.where("root != largest").join(other, "shingle").where("root != root2").where(agree)
+    several = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min("before").alias("soonest")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("classes"), F.min("soonest").alias("soonest")).where("classes > 1")
+    kept = rare.join(settle(several.select("shingle", "largest", "soonest")), "shingle").where(f"{loss('before')} + {loss('soonest')} <= {MOST_LOSS}")
+    rare = settle(kept.drop("soonest").join(sketch, "id"))
+    other = rare.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "before", "sketch")])
+    unlike = " + ".join(f"bit_count(sketch[{i}] ^ sketch2[{i}])" for i in range(SKETCH // 64))
+    near = f"{loss('before')} + {loss('before2')} <= {MOST_LOSS} and {unlike} <= {SKETCH - AGREE}"
+    both = rare.where("root != largest").join(other, "shingle").where("root != root2").where(near)
     return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
@@ -215,7 +247,7 @@ def classes(own: DataFrame) -> DataFrame:
     """k, h, class_k, class_h: every document (as keyed() gives them) with the least one of its class."""
     signed = settle(own.mapInArrow(_sign, SIGNED_SQL))
     # equal texts are one; its id is a hash of the text's hashes
-    rep = signed.where("t1 != 0 or t2 != 0").groupBy("t1", "t2").agg(F.min(F.struct("k", "h")).alias("one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    rep = signed.where("t1 != 0 or t2 != 0").groupBy("t1", "t2").agg(F.min(F.struct("k", "h")).alias("one"), F.first("bands").alias("bands"))
     rep = settle(rep.withColumn("id", F.xxhash64("t1", "t2")))
     buckets = rep.select("id", F.explode("bands").alias("band"))
     crowded = settle(buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
@@ -232,8 +264,9 @@ def classes(own: DataFrame) -> DataFrame:
     # Buckets whose members are in several classes: across these classes, all pairs that could be similar enough
     placed = members.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = settle(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band"))
-    crossing = settle(placed.join(mixed, "band").select("id", "root").distinct().join(rep.select("id", "sketch"), "id"))
-    pairs = settle(across(rare_shingles(sets).join(crossing, "id")).join(tested, ["a", "b"], "left_anti"))
+    crossing = settle(placed.join(mixed, "band").select("id", "root").distinct())
+    sketch = settle(sketches(sets.join(crossing, "id", "left_semi")))
+    pairs = settle(across(rare_shingles(sets).join(crossing, "id"), sketch).join(tested, ["a", "b"], "left_anti"))
     more = settle(verified(pairs, sets))
     if not more.isEmpty():
         roots = components(links.unionByName(more), "a", "b")
