@@ -186,6 +186,8 @@ def loss(before: str) -> str:
 
 
 MOST_LOSS = 2 / SIMILARITY + 1e-6
+#: Rarest shared shingles of a text that its rows carry, to tell a pair's first common one.
+HEAD = 16
 
 
 def rare_shingles(sets: DataFrame) -> DataFrame:
@@ -230,15 +232,18 @@ def across(rare: DataFrame, sketch: DataFrame) -> DataFrame:
     """a, b: texts of different classes that share a rare shingle (id, root, shingle, before) and agree in AGREE bits; members of a shingle's largest class aren't compared with each other.
 
     At a pair's first common shingle, what is rarer in either text is not common:
-    shingles at which that alone makes the pair unlike (loss) are passed over.
+    shingles at which that alone makes the pair unlike (loss) are passed over. A pair
+    whose first common shingle is in both heads is met there alone; other pairs may be met
+    at several, and are made distinct.
     """
     rare = settle(rare)
     several = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min("before").alias("soonest")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("classes"), F.min("soonest").alias("soonest")).where("classes > 1")
-    kept = rare.join(settle(several.select("shingle", "largest", "soonest")), "shingle").where(f"{loss('before')} + {loss('soonest')} <= {MOST_LOSS}")
-    rare = settle(kept.drop("soonest").join(sketch, "id"))
-    other = rare.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "before", "sketch")])
+    kept = settle(rare.join(settle(several.select("shingle", "largest", "soonest")), "shingle").where(f"{loss('before')} + {loss('soonest')} <= {MOST_LOSS}").drop("soonest"))
+    heads = kept.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("before", "shingle"))), 1, HEAD).getField("shingle").alias("head"))
+    rare = settle(kept.join(settle(heads.join(sketch, "id")), "id"))
+    other = rare.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "before", "sketch", "head")])
     unlike = " + ".join(f"bit_count(sketch[{i}] ^ sketch2[{i}])" for i in range(SKETCH // 64))
-    near = f"{loss('before')} + {loss('before2')} <= {MOST_LOSS} and {unlike} <= {SKETCH - AGREE}"
+    near = f"{loss('before')} + {loss('before2')} <= {MOST_LOSS} and {unlike} <= {SKETCH - AGREE} and coalesce(get(array_intersect(head, head2), 0), shingle) = shingle"
     both = rare.where("root != largest").join(other, "shingle").where("root != root2").where(near)
     return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
