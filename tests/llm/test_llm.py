@@ -272,6 +272,21 @@ def test_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - exact) < 0.15
 
 
+def test_short_pairs_are_met_across_classes(spark):
+    rng, texts = random.Random(11), []
+    for common, new in [(4, 1), (9, 2), (13, 3), (17, 4), (21, 5)]:  # J_P from 0.8 to 0.82, and just below
+        for _ in range(60):
+            w = sentence(rng, common + 4).split()
+            texts += [w, w + sentence(rng, new).split(), sentence(rng, new + 1).split() + w]
+    sets = [Counter(tuple(w[a : a + 5]) for a in range(len(w) - 4)) for w in texts]
+    want = {(a, b) for i in range(0, len(sets), 3) for a, b in itertools.combinations(range(i, i + 3), 2) if probability_jaccard(sets[a], sets[b]) >= 0.8}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string").repartition(2)
+    stored = op6.settle(docs.mapInArrow(op6._sets, "id long, shingles binary, weights binary"))
+    rare = op6.rare_shingles(stored).withColumn("root", op6.F.col("id"))
+    assert {tuple(r) for r in op6.verified(op6.across(rare, op6.sketches(stored)), stored).collect()} == want
+    assert len(want) == 300
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}

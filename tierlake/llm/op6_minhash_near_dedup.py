@@ -19,7 +19,7 @@ popular text. What verifies is one class; a bucket whose members are all in one
 class needs nothing more. Members of the other buckets are compared across
 classes, as far as they share one of their rarest shingles, which every similar
 pair does (rare_shingles), and their sketches agree, which a pair at SIMILARITY
-misses with a probability of 0.0001: copies cost one comparison each, and a passage
+misses with a probability of 0.00016: copies cost one comparison each, and a passage
 that many texts share makes no pairs.
 
 Defined cases: null, empty and shorter texts than SHINGLE words have no shingles;
@@ -161,8 +161,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 CELLS = 1 << 18
 #: One bit of each of so many components: texts of similarity J have a bit in common with a probability of (1 + J) / 2.
 SKETCH = 1024
-#: A pair with J_P = 0.8 has 922 of them in common on average and fewer than this with a probability of 0.0001.
+#: A pair with J_P = 0.8 has 922 of them in common on average and fewer than this with a probability of 0.00016 (binomial).
 AGREE = 886
+#: A bit is hashed from shingle and component: the components that one shingle owns have bits independent of each other.
+PLACES = mix(np.arange(1, SKETCH + 1, dtype=U64))
 
 
 def sketches(sets: DataFrame) -> DataFrame:
@@ -173,7 +175,7 @@ def sketches(sets: DataFrame) -> DataFrame:
             for batch, data, offs in slices([whole], "shingles", 1 << 20):
                 weight = texts(batch, "weights")[0].view("<u4").astype(float)
                 signed = signatures(row_of(offs // 8), data.view("<u8"), weight, len(offs) - 1, SKETCH)
-                packed = np.packbits((mix(signed) >> U64(63)).astype(np.uint8), axis=1).view("<i8")
+                packed = np.packbits((mix(signed ^ PLACES) >> U64(63)).astype(np.uint8), axis=1).view("<i8")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1) * packed.shape[1], pa.int32()), pa.array(packed.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([pa.array(longs(batch, "id")), lists], names=["id", "sketch"])
 
