@@ -141,6 +141,22 @@ def test_urls(spark):
     assert op4.filter_urls(pages.limit(0), "page_id", "url").count() == 0
 
 
+def test_joined_spellings(spark):
+    urls = ["http://spamfarm.net/x", "https://www.casinowin.org/", "http://freebets.example.net/a", "http://a-cheappills-b.org", "http://ADULTX.org/", "http://ads-track.org/", "http://b.adstrack-x.org/?a", "http://spamfarms.net/x", "http://xspamfarm.net/"]
+    want = ["farm", "casino", "bets", "pills", "adult", "ads", "ads", None, None]
+    got = op4.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id", "url").collect()
+    assert [(r.pattern, r.verdict) for r in sorted(got)] == [(w, "block" if w else "allow") for w in want]
+
+
+def test_rule_tokens_are_required():
+    assert op4.required_tokens(r"://([^/?#]*[.-])?spam-?farm[.-]") == [{"spamfarm"}, {"spam", "farm"}] * 2
+    assert op4.required_tokens(r"/(ab|c)/x[0-9]/y+/z") == [{"ab"}, {"c"}]
+    op4.check_patterns(op4.PATTERN_RULES)
+    for spellings, regex in [([["spam", "farm"]], r"/spam-?farm/"), ([["spam"]], r"/spam"), ([["spam"]], r"/.*spam/"), ([[]], r"/spam/"), ([["spam"]], r"(?i:/spam/)")]:
+        with pytest.raises(ValueError):
+            op4.check_patterns([("rule", spellings, regex)])
+
+
 # -- op3
 
 

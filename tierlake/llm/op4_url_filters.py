@@ -9,10 +9,12 @@ the URL's path starts with the rule's; the longest rule wins (host length, then
 path length, then the rule's text). They are found by an equi-join: every host
 suffix at a label border is looked up, never every rule against every URL.
 
-Pattern rules: a regular expression with the literal tokens that every match
-must hold. The index maps a rule to the one of its tokens that is rarest in the
-URLs at hand; a URL's tokens fetch the rules, and only those run their regular
-expression. They decide where no host rule does: block if one matches.
+Pattern rules: a regular expression and its spellings, each with the literal
+tokens that every match in this spelling must hold (check_patterns compares them
+with the regular expression). The index maps each spelling of a rule to the one
+of its tokens that is rarest in the URLs at hand; a URL's tokens fetch the rules,
+and only those run their regular expression. They decide where no host rule does:
+block if one matches.
 
 Defined cases: null URL, or one without "://": host and path are empty, no
 rule, verdict "allow". Repeated rows stay, one result each; ties between
@@ -22,6 +24,8 @@ matching pattern rules don't matter, as all block. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from re import _constants as rc
+from re import _parser as rp
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +35,14 @@ from .common import table
 #: (host, path, verdict)
 HOST_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
-#: (name, literal tokens that a match must hold, regular expression on the URL)
+#: (name, spellings: literal tokens that a match must hold, regular expression on the lower-cased URL)
 PATTERN_RULES = [
-    ("farm", ["spam", "farm"], r"://([^/?#]*[.-])?spam-?farm[.-]"),
-    ("pills", ["cheap", "pills"], r"://([^/?#]*[.-])?cheap-?pills[.-]"),
-    ("casino", ["casino", "win"], r"://([^/?#]*[.-])?casino-?win[.-]"),
-    ("bets", ["free", "bets"], r"://([^/?#]*[.-])?free-?bets[.-]"),
-    ("adult", ["adult", "x"], r"://([^/?#]*[.-])?adult-?x[.-]"),
-    ("ads", ["ads", "track"], r"://([^/?#]*[.-])?ads-?track[.-]"),
+    ("farm", [["spam", "farm"], ["spamfarm"]], r"://([^/?#]*[.-])?spam-?farm[.-]"),
+    ("pills", [["cheap", "pills"], ["cheappills"]], r"://([^/?#]*[.-])?cheap-?pills[.-]"),
+    ("casino", [["casino", "win"], ["casinowin"]], r"://([^/?#]*[.-])?casino-?win[.-]"),
+    ("bets", [["free", "bets"], ["freebets"]], r"://([^/?#]*[.-])?free-?bets[.-]"),
+    ("adult", [["adult", "x"], ["adultx"]], r"://([^/?#]*[.-])?adult-?x[.-]"),
+    ("ads", [["ads", "track"], ["adstrack"]], r"://([^/?#]*[.-])?ads-?track[.-]"),
 ]
 
 #: A rule list of more rows than this is not broadcast.
@@ -60,20 +64,72 @@ def _maybe_broadcast(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_RULES else df
 
 
+_TOKEN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _ends(char: str) -> bool:
+    return char.isascii() and not char.isalnum()
+
+
+def _ways(parsed) -> list[list[str | None]]:
+    """The sequences of pieces that match a parsed regular expression: a character, "" for one that ends a token, None for anything else."""
+    out: list[list[str | None]] = [[]]
+    for op, arg in parsed:
+        if op is rc.LITERAL:
+            some = [[chr(arg) if chr(arg) in _TOKEN else "" if _ends(chr(arg)) else None]]
+        elif op is rc.IN and all(o is rc.LITERAL and _ends(chr(a)) for o, a in arg):
+            some = [[""]]
+        elif op is rc.SUBPATTERN and not arg[1] and not arg[2]:
+            some = _ways(arg[3])
+        elif op is rc.BRANCH:
+            some = [w for b in arg[1] for w in _ways(b)]
+        elif op is rc.MAX_REPEAT and arg[:2] == (0, 1):
+            some = [[], *_ways(arg[2])]
+        else:
+            some = [[None]]
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def required_tokens(regex: str) -> list[set[str]]:
+    """For each way to match, tokens of the URL that it must hold: its runs of letters and digits between two characters that end a token."""
+    found = []
+    for way in _ways(rp.parse(regex)):
+        tokens, run = set(), None
+        for piece in way:
+            if piece:
+                run = None if run is None else [*run, piece]
+            else:
+                if run and piece == "":
+                    tokens.add("".join(run))
+                run = [] if piece == "" else None
+        found.append(tokens)
+    return found
+
+
+def check_patterns(patterns: Sequence) -> None:
+    """Every way to match a rule's regular expression must hold all tokens of one of its spellings, or the index would miss it."""
+    for name, spellings, regex in patterns:
+        for tokens in required_tokens(regex):
+            if not any(s and tokens.issuperset(s) for s in spellings):
+                raise ValueError(f"rule {name}: a match of {regex} need hold no spelling of {spellings}, only {sorted(tokens)}")
+
+
 def pattern_index(urls: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
-    """(token, rule, regex): each rule under the one of its tokens that fewest URLs hold."""
-    tokens = patterns.select("rule", "regex", F.explode("tokens").alias("token"))
+    """(token, rule, regex): each spelling of a rule under the one of its tokens that fewest URLs hold."""
+    tokens = patterns.select("rule", "regex", F.posexplode("spellings").alias("spelling", "tokens")).select("rule", "regex", "spelling", F.explode("tokens").alias("token"))
     seen = urls.select(F.explode("tokens").alias("token")).join(_maybe_broadcast(tokens.select("token").distinct(), n), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     rarest = F.min_by(F.struct("token", "regex"), F.struct(F.coalesce("n", F.lit(0)), "token"))
-    return tokens.join(seen, "token", "left").groupBy("rule").agg(rarest.alias("r")).select("r.token", "rule", "r.regex")
+    return tokens.join(seen, "token", "left").groupBy("rule", "spelling").agg(rarest.alias("r")).select("r.token", "rule", "r.regex")
 
 
 def filter_urls(pages: DataFrame, key: str, url: str, host_rules: Sequence = HOST_RULES, patterns: Sequence = PATTERN_RULES) -> DataFrame:
     """One row per page: key, host, path, rule, verdict, and `pattern`, the first pattern rule that matched."""
+    check_patterns(patterns)
     spark = pages.sparkSession
     rules = spark.createDataFrame(list(host_rules), "rule_host string, rule_path string, rule_verdict string")
     rules = rules.withColumn("rule", F.concat("rule_host", "rule_path"))
-    regexes = spark.createDataFrame(list(patterns), "rule string, tokens array<string>, regex string")
+    regexes = spark.createDataFrame(list(patterns), "rule string, spellings array<array<string>>, regex string")
 
     urls = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
     urls = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
