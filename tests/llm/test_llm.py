@@ -327,6 +327,24 @@ def test_decontamination(docs, spark, empty):
     assert op7.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_items_of_frequent_words_are_found(spark):
+    rng = random.Random(4)
+    common = sentence(rng, 14).split()
+    item = rng.choices(common, k=18)
+    texts = [rng.choices(common, k=400) for _ in range(150)] + [sentence(rng, 40).split() for _ in range(50)]
+    for at in range(18):  # an edited copy among rare words, and one with all but a few neighbours replaced
+        edited = [w if k != at else "changed" for k, w in enumerate(item)]
+        texts += [sentence(rng, 30).split() + edited + sentence(rng, 30).split(), [w if k % 5 != at % 5 else f"x{k}" for k, w in enumerate(item)]]
+    codes = {w: k for k, w in enumerate({w for t in [*texts, item] for w in t})}
+    coded = np.array([codes[w] for w in item])
+    want = {i: s / 36 for i, t in enumerate(texts) if (s := op7.align(coded, np.array([codes[w] for w in t]))) >= 18}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, sentence(rng, 20))], "item_id long, text string")
+    got = op7.find_leaks(docs, bench).where("item_id = 1").collect()
+    assert {r.doc_id: r.score for r in got} == want
+    assert want.keys() >= set(range(200, 236))
+
+
 def test_alignment():
     a, b = np.array([1, 2, 3, 4]), np.array([9, 1, 2, 8, 3, 4, 9])
     assert op7.align(a, b) == 7  # four matches, one gap

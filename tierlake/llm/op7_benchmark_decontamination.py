@@ -1,20 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits, A-Z lower-cased. A seed is an n-gram of a
-test item that chance would not repeat: by the corpus frequency of its words,
-over all documents, fewer than CHANCE occurrences are to be expected. (The
-frequency of the n-gram itself would hide a test item that leaked often.)
-Documents are joined to the seeds by hash; near the hits, the passage is aligned
-with the whole item, word by word, and the best local score, as a share of the
-score of a perfect copy, is the result. At SCORE or more it is a leak.
+Words are runs of letters and digits, A-Z lower-cased. Every SEED-gram of a test
+item is a seed, however frequent its words are: a passage that holds one is found
+in a corpus of any size. Documents are joined to the seeds by hash; near the hits,
+the passage is aligned with the whole item, word by word, and the best local score,
+as a share of the score of a perfect copy, is the result. At SCORE or more it is a
+leak. What chance joins is mostly not aligned: a passage that holds too few of the
+item's words can't reach SCORE (an exact bound).
 
 Test items are a query set against all documents: they are taken in blocks of at
 most BLOCK_WORDS words, and only a block is sent to the tasks. Documents are never
 shuffled; a very frequent passage costs each document that holds it one alignment.
 
 Defined cases: null or empty texts have no words and no hits. An item of fewer
-than SEED words is found only as a whole: its whole word sequence is the seed,
-whatever chance says. Repeated documents give repeated rows; items with equal
+than SEED words is found only as a whole: its whole word sequence is the seed. Repeated documents give repeated rows; items with equal
 item_id and text count once. Other columns are ignored.
 """
 
@@ -31,7 +30,6 @@ from .common import Rolling, as_long, conf_text_batches, slices, table, texts
 from .op9_quality_classifier import _KIND, tokens
 
 SEED = 3
-CHANCE = 0.1
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1_000_000
@@ -79,20 +77,10 @@ class Block:
         keep = np.flatnonzero(np.diff(first))
         self.ids = np.array([items[k][0] for k in keep], np.int64)
         self.words = [words[first[k] : first[k + 1]] for k in keep]
-        self.vocabulary = np.unique(words)
-
-    def seed(self, counts: np.ndarray, total: int) -> None:
-        share = np.maximum(counts, 1) / max(1, total)
-        hashes, items, short = [], [], []
+        hashes, short = [], []
         for k, w in enumerate(self.words):
             n = min(SEED, len(w))
-            got = Rolling(w, 8).grams(n)
-            p = share[np.searchsorted(self.vocabulary, w)]
-            chance = np.prod([p[j : len(w) - n + 1 + j] for j in range(n)], axis=0) * total
-            got = got[chance < CHANCE] if len(w) >= SEED else got
-            if not len(got) and len(w) >= SEED:  # all of it is common: its rarest n-gram
-                got = Rolling(w, 8).grams(n)[[int(np.argmin(chance))]]
-            (hashes if n == SEED else short).extend((int(h), k) for h in np.unique(got))
+            (hashes if n == SEED else short).extend((int(h), k) for h in np.unique(Rolling(w, 8).grams(n)))
         self.hashes, self.items = self._sorted(hashes)
         self.short = {n: self._sorted([(h, k) for h, k in short if len(self.words[k]) == n]) for n in range(1, SEED)}
 
@@ -102,23 +90,6 @@ class Block:
         return np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int64)
 
 
-COUNTS = "word long, n long"
-_COUNTS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
-
-
-def _count(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each word of the vocabulary (by its place); all words together at place -1."""
-    n, total = np.zeros(len(vocabulary), np.int64), 0
-    for _, data, offs in slices(batches, "text"):
-        words, _ = hashed_words(data, offs)
-        total += len(words)
-        if len(vocabulary):
-            at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-            n += np.bincount(at[vocabulary[at] == words], minlength=len(vocabulary))
-    some = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], total))], schema=_COUNTS)
-
-
 def _hits(hashes: np.ndarray, items: np.ndarray, got: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, item) for every n-gram that is a seed; a seed of several items hits each."""
     if not len(hashes) or not len(got):
@@ -158,7 +129,8 @@ def leaks_of(block: Block, data: np.ndarray, offs: np.ndarray) -> list[tuple[int
         low, high = max(int(first[d]), int(place[a]) - n), min(int(first[d + 1]), int(place[b]) + 2 * n)
         passage = words[low:high]
         if (key := (k, passage.tobytes())) not in memo:
-            memo[key] = align(block.words[k], passage)
+            most = MATCH * np.count_nonzero(np.isin(block.words[k], passage))
+            memo[key] = align(block.words[k], passage) if most >= SCORE * MATCH * n else 0
         score = memo[key] / (MATCH * n)
         if score >= SCORE and score > best.get((d, k), (0.0,))[0]:
             best[d, k] = (score, low - int(first[d]), high - low)
@@ -188,28 +160,12 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield out
 
 
-def seeded_blocks(own: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
-    """The blocks with their seeds, by the frequencies of their words in all documents."""
-    for items in blocks(benchmark):
-        block = Block(items)
-        words = block.vocabulary
-        counts = np.zeros(len(words), np.int64)
-        total = 0
-        for at, n in own.select("text").mapInArrow(lambda it, words=words: _count(it, words), COUNTS).groupBy("word").agg(F.sum("n")).collect():  # as many rows as a block has words
-            if at < 0:
-                total = n
-            else:
-                counts[at] = n
-        block.seed(counts, total)
-        yield block
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, n_words: every document with a passage that aligns with a test item."""
     conf_text_batches(docs.sparkSession)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     out = docs.sparkSession.createDataFrame([], LEAKS)
-    for block in seeded_blocks(own, benchmark):
+    for block in map(Block, blocks(benchmark)):
         out = out.unionByName(own.mapInArrow(lambda it, block=block: _leaks(it, block), LEAKS))
     return out
 
@@ -225,7 +181,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that hold no passage of a test item."""
     conf_text_batches(docs.sparkSession)
     out = docs
-    for block in seeded_blocks(docs.select(docs["text"].alias("text")), benchmark):
+    for block in map(Block, blocks(benchmark)):
         out = out.mapInArrow(lambda it, block=block: _clean(it, block), docs.schema)
     return out
 
