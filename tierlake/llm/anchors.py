@@ -13,50 +13,35 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import U64, Rolling, mix, row_of, sliding_min
+from .common import U64, row_of, sliding_min
 
 #: Bits of a place in a slice, below the hash in the sort key of the sliding minimum.
 _PLACE = U64((1 << 31) - 1)
 
 
-def anchored(rolling: Rolling, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, lo, n, shift, anchor hash, segment hash) per anchor: the row's windows lo ... lo + n - 1 have theirs at lo + shift."""
+def anchored(grams: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(row, lo, n, shift, anchor) per anchor, from the hashes of all k-grams: the windows from lo on, n of them, have theirs at lo + shift. lo counts from the slice's first symbol."""
     size = int(offs[-1])
     none = np.zeros(0, np.int64)
     if size < length:
-        return none, none, none, none, none.astype(U64), none.astype(U64)
-    grams = rolling.grams(k)
+        return none, none, none, none, none.astype(U64)
     least = sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=U64), length - k + 1)
     row = row_of(offs)
     at = np.flatnonzero(row[: size - length + 1] == row[length - 1 :])
     if not len(at):
-        return none, none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none, none.astype(U64)
     place = (least[at] & _PLACE).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
     lo, place = at[first], place[first]
-    shift = place - lo
-    segment = rolling.spans(lo, lo + n - 1 + length) ^ mix(shift.astype(U64))
-    doc = row[lo]
-    return doc, lo - offs[doc], n, shift, grams[place], segment
+    return row[lo], lo, n, place - lo, grams[place]
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
     """Which of `size` symbols lie in one of the spans."""
-    edge = np.zeros(size + 1, np.int64)
+    edge = np.zeros(size + 1, np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + lengths, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def runs(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same (doc, window starts) with touching spans as one."""
-    order = np.lexsort((lo, doc))
-    doc, lo, n = doc[order], lo[order], n[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > lo[:-1] + n[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    return doc[first], lo[first], lo[last] + n[last] - lo[first]
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0

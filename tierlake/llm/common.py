@@ -2,19 +2,26 @@
 
 All hashing works on whole texts as UTF-8 bytes, in slices of a few MB that
 never cut a document, so that a task's memory follows the slice (or its longest
-document) and not the partition.
+document) and not the partition. Hashes of bytes are worked out in blocks, so a
+very long document costs what is kept of it, and not what leads there.
+
+No hash here is a polynomial: every step mixes, so texts that cancel out in a
+ring (Thue-Morse words modulo 2^64) have different hashes as any others have.
+What removes text without a further look is a digest (blake2b, 128 bits) of
+the bytes or words themselves.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once.
@@ -27,15 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Just these columns, whatever else the table holds."""
-    return df.select(*[df[c] for c in columns])
-
-
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, which is set here only where it is unset."""
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir, which is set here only where it is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/tierlake-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -59,6 +63,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Tables:
     """settle() for tables that are dropped together when no one reads them any more: disk follows a step, not the whole job."""
 
@@ -71,26 +80,41 @@ class Tables:
         return out
 
     def drop(self) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for p in self.paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+        for path in self.paths:
+            delete(self.spark, path)
         self.paths = []
 
 
-#: Stands for a null doc_id in keys; it counts as the smallest.
+#: Keys from here up to NULL_ID + 2^32 - 1 stand for null doc_ids; they count as the smallest.
 NULL_ID = -(2**63)
 
 
+def key_of(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """k and h of a row: k is the doc_id, and for null NULL_ID and 32 bits of a hash of the text; h is another hash of the text (64 bits)."""
+    null = F.lit(NULL_ID) + F.xxhash64(F.lit("null"), text).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.coalesce(doc_id.cast("long"), null), F.xxhash64(text)
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """k (doc_id; null: NULL_ID), h (31 bits of a hash of the text) and text: rows with equal k and h count as one document."""
-    t = docs[text]
-    return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("k"), (F.xxhash64(t).bitwiseAND(F.lit(0x7FFFFFFF))).alias("h"), t.alias("text"))
+    """k, h (key_of) and text: rows with equal k and h count as one document. Ids below NULL_ID + 2^32 count as null."""
+    k, h = key_of(docs[doc_id], docs[text])
+    return docs.select(k.alias("k"), h.alias("h"), docs[text].alias("text"))
 
 
 def real_id(k: str = "k"):
     """doc_id again."""
-    return F.nullif(F.col(k), F.lit(NULL_ID))
+    return F.when(F.col(k) >= F.lit(NULL_ID + 2**32), F.col(k))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores in front as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def once(column):
@@ -169,49 +193,98 @@ def _odd(seed: int) -> int:
     return (int(mix(np.array([seed], U64))[0]) | 1) & ((1 << 64) - 1)
 
 
-@functools.lru_cache(8)
-def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _odd(seed)
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(size, b, U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(seed, 1 << max(16, (n + 1).bit_length()))
-
-
-@functools.lru_cache(8)
-def _byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(_odd(seed + 77)))
-
-
-class Rolling:
-    """Hashes of any spans of a sequence in constant time each: a polynomial modulo 2^64 over mixed symbols, then mixed again."""
-
-    def __init__(self, symbols: np.ndarray, seed: int):
-        values = _byte_values(seed)[symbols] if symbols.dtype == np.uint8 else mix(symbols ^ U64(_odd(seed + 77)))
-        up, self.down = powers(seed, len(symbols))
-        self.sums = np.zeros(len(symbols) + 1, U64)
-        np.cumsum(values * up[: len(symbols)], out=self.sums[1:])
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
-
-    def grams(self, k: int) -> np.ndarray:
-        """Hashes of all spans of k symbols."""
-        n = len(self.sums) - k
-        if n <= 0:
-            return np.zeros(0, U64)
-        return mix((self.sums[k:] - self.sums[:-k]) * self.down[:n])
+#: Bytes that one step of hashing handles at once, and places of a span whose values come from a table.
+BLOCK = 1 << 18
+TABLE = 64
+_STEP = U64(0x9FB21C651E98DF25)
+
+
+@functools.lru_cache(16)
+def _values(seed: int) -> np.ndarray:
+    return mix(np.arange(TABLE * 256, dtype=U64) * U64(_odd(seed)) + U64(seed + 1))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hash of each span of bytes: the sum of a random value for every byte at its place in the span, mixed. Memory is a block's, however long a span."""
+    lengths = ends - starts
+    out = np.zeros(len(starts), U64)
+    table, factor, last = _values(seed), U64(_odd(seed)), U64(seed + 1)
+    upto = np.append(0, np.cumsum(lengths))
+    at = 0
+    while at < len(starts):
+        if lengths[at] > BLOCK:
+            for a in range(0, int(lengths[at]), BLOCK):
+                part = data[starts[at] + a : min(starts[at] + a + BLOCK, ends[at])]
+                code = (np.arange(a, a + len(part), dtype=U64) << U64(8)) + part
+                out[at : at + 1] += mix(code * factor + last).sum(dtype=U64)
+            at += 1
+            continue
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, "right")) - 1)
+        n = lengths[at:to]
+        some = np.flatnonzero(n)
+        n = n[some]
+        if len(n):
+            before = np.cumsum(n) - n
+            place = np.arange(int(before[-1] + n[-1])) - np.repeat(before, n)
+            code = (place << 8) + data[place + np.repeat(starts[at:to][some], n)]
+            if n.max() <= TABLE:
+                value = table[code]
+            else:
+                value = table[np.minimum(code, len(table) - 1)]
+                far = np.flatnonzero(place >= TABLE)
+                value[far] = mix(code[far].astype(U64) * factor + last)
+            out[at + some] = np.add.reduceat(value, before)
+        at = to
+    return mix(out + lengths.astype(U64) * _STEP)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    return Rolling(data, seed).spans(starts, ends)
+    return span_hashes(data, starts, ends, seed)
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words with one space after each, and where each starts there (with the end last)."""
+    at = np.append(0, np.cumsum(ends - starts + 1))
+    out = np.append(data, np.uint8(0x20))[ranges(starts, ends - starts + 1)]
+    out[at[1:] - 1] = 0x20
+    return out.tobytes(), at
+
+
+def grams(symbols: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of k symbols (64-bit, as word_hashes gives them)."""
+    n = len(symbols) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    h = symbols[:n] ^ U64(_odd(seed))
+    for j in range(1, k):
+        h ^= h >> U64(32)
+        h = h * _STEP + symbols[j : j + n]
+    return mix(h)
+
+
+def byte_grams(data: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of k bytes, 8 or more: they are read as eights, the last of them ending the run."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    raw, out, first = np.ascontiguousarray(data), np.empty(n, U64), U64(_odd(seed))
+    for a in range(0, n, BLOCK >> 2):
+        m = min(n - a, BLOCK >> 2)
+        eights = mix(np.ndarray((m + k - 8,), "<u8", raw.data, a, strides=(1,)) ^ first)
+        h = eights[:m]
+        for j in [*range(8, k - 7, 8), k - 8] if k % 8 else range(8, k - 7, 8):
+            h = h * _STEP
+            h ^= h >> U64(32)
+            h += eights[j : j + m]
+        out[a : a + m] = mix(h * _STEP)
+    return out
+
+
+def digests(bodies: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """blake2b of each text, 128 bits as two longs: what tells texts apart for good."""
+    raw = b"".join([hashlib.blake2b(b, digest_size=16).digest() for b in bodies])
+    both = np.frombuffer(raw, "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

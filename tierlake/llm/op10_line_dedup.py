@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, keyed, once, real_id, settle, table
+from .common import key_of, keyed, once, real_id, settle, table, unused
 
 MIN_WORDS = 5
 PLACE = "struct(k, h, no)"
@@ -111,20 +111,20 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     n_chars, where there is one, is the new text's number of characters.
     """
-    lost = removed_lines(keyed(docs)).withColumnsRenamed({"k": "__k", "h": "__h", "removed": "__removed"})
-    names = docs.columns
-    marked = docs.withColumns({"__k": F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), "__h": F.xxhash64(docs["text"]).bitwiseAND(F.lit(0x7FFFFFFF))})
-    out = marked.join(lost, ["__k", "__h"], "left")
+    names, (k, h, removed, parts) = docs.columns, unused(docs, "k", "h", "removed", "lines")
+    lost = removed_lines(keyed(docs)).withColumnsRenamed({"k": k, "h": h, "removed": removed})
+    marked = docs.withColumns(dict(zip((k, h), key_of(docs["doc_id"], docs["text"]), strict=True)))
+    out = marked.join(lost, [k, h], "left")
     # the lines between the removed ones, run by run: linear in the text's length
-    out = out.withColumn("__lines", once(F.when(F.col("__removed").isNotNull(), F.split("text", "\n"))))
-    runs = """transform(sequence(0, size(__removed)), j -> slice(__lines,
-      CASE WHEN j = 0 THEN 1 ELSE __removed[j - 1] + 2 END,
-      CASE WHEN j = size(__removed) THEN size(__lines) ELSE __removed[j] END - CASE WHEN j = 0 THEN 0 ELSE __removed[j - 1] + 1 END))"""
+    out = out.withColumn(parts, once(F.when(F.col(removed).isNotNull(), F.split("text", "\n"))))
+    runs = f"""transform(sequence(0, size({removed})), j -> slice({parts},
+      CASE WHEN j = 0 THEN 1 ELSE {removed}[j - 1] + 2 END,
+      CASE WHEN j = size({removed}) THEN size({parts}) ELSE {removed}[j] END - CASE WHEN j = 0 THEN 0 ELSE {removed}[j - 1] + 1 END))"""
     kept = F.expr(f"array_join(flatten({runs}), '\n')")
-    changed = {"text": F.when(F.col("__removed").isNotNull(), kept).otherwise(F.col("text"))}
-    out = out.withColumns(changed).where(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.when(F.col(removed).isNotNull(), kept).otherwise(F.col("text"))}
+    out = out.withColumns(changed).where(F.col(removed).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__removed").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(removed).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
 
 

@@ -2,12 +2,15 @@
 
 A document is its token ids and the end id; only longer ones than a sequence
 are cut, into whole sequences and a shorter last piece. Each input partition
-tokenises and packs its own pieces (longest first, each into the fullest bin
-with room), so only lengths and places are ever shuffled, never ids. Bins that
-are nearly full are final. The others go on as items: a round deals them to
-groups of at most GROUP_BINS, which best-fit them; the next round has fewer
-groups, down to one. Should a round's bins not fit one group and not get fewer,
-the rest stays as it is: no task ever holds more than GROUP_BINS bins.
+tokenises its pieces and packs them LOCAL_PIECES at a time (longest first, each
+into the fullest bin with room), so a task's memory is bounded and only lengths
+and places are ever shuffled, never ids. Bins that are nearly full are final. The
+others go on as items: the first round deals them to groups of about GROUP_BINS,
+which best-fit them; every next round merges FAN_IN groups to one, down to the
+root. Two bins of more than half a sequence never share one, and best fit leaves
+a group at most one that is not: so a group hands on that bin, and of the others,
+which can only take in smaller ones, PASS of each fill. Thus no task ever
+holds more than GROUP_BINS or FAN_IN x PASS x SEQUENCE / 2 bins, about.
 
 Defined cases: null or empty text: the end id alone. Repeated rows are packed
 each. Other columns are ignored. An empty table gives an empty result.
@@ -33,9 +36,14 @@ END_ID = 0
 #: A bin with less room than this is final.
 NEARLY_FULL = 4
 GROUP_BINS = 100_000
-ROUNDS = 8
-#: Tokenised words that a worker remembers; beyond it, it starts anew.
-CACHE_WORDS = 1_000_000
+FAN_IN = 4
+#: The rounds above a group take in fewer than FAN_IN bins each, so this many of a fill are enough for rounds / FAN_IN of them.
+PASS = 24
+LOCAL_PIECES = 50_000
+#: Memory for the words that a worker remembers, and what an entry takes besides its text and ids; beyond it, it starts anew.
+CACHE_BYTES, ENTRY_BYTES = 30 << 20, 220
+#: Longer words are not remembered.
+CACHE_LETTERS = 64
 
 
 def tokenizer_path() -> str:
@@ -64,24 +72,22 @@ class WordIds(dict):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level: bytes that stand for themselves; the others follow from 256
         hidden = [b for b in range(256) if b not in set(shown)]
         self.char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, s: str) -> bytes:
-        if (got := self.parts.get(s)) is None:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            text = s if s.isascii() else "".join(map(self.char.__getitem__, s.encode()))
-            self.parts[s] = got = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-        return got
+        self.room = CACHE_BYTES
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         if "<|" in word or not self.LATIN.fullmatch(word):
             got = self.encode_whole(word)
-        else:
-            got = b"".join(map(self.part, self.PARTS.findall(word.lower())))
-        self[word] = got
+        elif (parts := self.PARTS.findall(word.lower())) == [word]:
+            text = word if word.isascii() else "".join(map(self.char.__getitem__, word.encode()))
+            got = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        else:  # a part of a part is itself
+            got = b"".join(map(self.__getitem__, parts))
+        if len(word) <= CACHE_LETTERS:
+            self.room -= len(word) + len(got) + ENTRY_BYTES
+            if self.room < 0:
+                self.clear()
+                self.room = CACHE_BYTES
+            self[word] = got
         return got
 
     def encode_whole(self, text: str) -> bytes:
@@ -132,29 +138,46 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 _SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, local_pieces: int) -> Iterator[pa.RecordBatch]:
     ids, end = word_ids(path), np.array([END_ID], "<u4").tobytes()
     rows: list[tuple] = []
+    used = TaskContext.get().partitionId() << 36
+
+    def packed() -> pa.RecordBatch:
+        nonlocal used
+        bins, at = best_fit(np.array([r[3] for r in rows], np.int64))
+        cols = [*zip(*rows, strict=True), bins + used, at]
+        used += len(rows)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, PIECES, strict=True)], schema=PIECES)
+
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = ids.encode(text or "") + end
+        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            got, doc = ids.encode(text.as_py() or "") + end, doc.as_py()
             for k, a in enumerate(range(0, len(got), 4 * SEQUENCE)):
                 part = got[a : a + 4 * SEQUENCE]
                 rows.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
-    bins, at = best_fit(np.array([r[3] for r in rows], np.int64))
-    bins += TaskContext.get().partitionId() << 36
-    for a in range(0, len(rows), 50_000):
-        cols = [*zip(*rows[a : a + 50_000], strict=True), bins[a : a + 50_000], at[a : a + 50_000]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, PIECES, strict=True)], schema=PIECES)
+            if len(rows) >= local_pieces:
+                yield packed()
+    if rows:
+        yield packed()
+
+
+MOVES = "g long, bin long, target long, shift long, total long, up boolean"
 
 
 def _merge(group: pd.DataFrame) -> pd.DataFrame:
+    """Where each bin goes (target, shift), the new bin's fill, and whether the next round sees it (up; in the row of its first one)."""
     group = group.sort_values(["fill", "bin"], ascending=[False, True], ignore_index=True)
     k, shift = best_fit(group["fill"].to_numpy(np.int64))
     first = np.full(k.max() + 1, -1, np.int64)
     first[k[shift == 0]] = group["bin"].to_numpy()[shift == 0]  # the new bin has its first one's number
     total = np.bincount(k, group["fill"]).astype(np.int64)
-    return pd.DataFrame({"bin": group["bin"], "target": first[k], "shift": shift, "total": total[k]})
+    out = pd.DataFrame({"g": group["g"], "bin": group["bin"], "target": first[k], "shift": shift, "total": total[k]})
+    heads = out[(out["shift"] == 0) & (out["total"] <= SEQUENCE - NEARLY_FULL)]
+    out["up"] = False
+    out.loc[heads.index[heads.groupby("total").cumcount() < PASS], "up"] = True
+    return out
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -162,27 +185,25 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     conf_text_batches(docs.sparkSession)
     path = path or tokenizer_path()
     own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    pieces = settle(own.mapInArrow(lambda it: _pieces(it, path), _SQL))
+    local_pieces = LOCAL_PIECES
+    pieces = settle(own.mapInArrow(lambda it: _pieces(it, path, local_pieces), _SQL))
     underfull = pieces.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") <= SEQUENCE - NEARLY_FULL)
     underfull = settle(underfull)
-    moves = None
-    n = underfull.count()
-    for _ in range(ROUNDS):
-        groups = -(-n // GROUP_BINS)
-        if not n:
-            break
-        dealt = underfull.withColumn("g", F.pmod(F.xxhash64("bin"), F.lit(groups)))
-        merged = settle(dealt.groupBy("g").applyInPandas(_merge, "bin long, target long, shift long, total long"))
+    moves, groups = None, -(-underfull.count() // GROUP_BINS)
+    dealt = underfull.withColumn("g", F.pmod(F.xxhash64("bin"), F.lit(max(groups, 1))))
+    while groups:
+        merged = settle(dealt.groupBy("g").applyInPandas(_merge, MOVES))
         step = merged.select("bin", "target", "shift")
         if moves is None:
             moves = step
         else:  # what has moved to a bin moves on with it
             on = step.select(F.col("bin").alias("target"), F.col("target").alias("next"), F.col("shift").alias("more"))
             moves = moves.join(on, "target", "left").select("bin", F.coalesce("next", "target").alias("target"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
-        underfull = merged.where((F.col("shift") == 0) & (F.col("total") <= SEQUENCE - NEARLY_FULL)).select(F.col("target").alias("bin"), F.col("total").alias("fill"))
-        before, n = n, underfull.count()
-        if groups == 1 or n == before:
+        up = merged.where("up")
+        if groups == 1 or up.where(2 * F.col("total") <= SEQUENCE).isEmpty():  # two larger ones never share
             break
+        dealt = up.select(F.floor(F.col("g") / FAN_IN).alias("g"), F.col("target").alias("bin"), F.col("total").alias("fill"))
+        groups = -(-groups // FAN_IN)
     if moves is None:
         moves = underfull.select("bin", F.col("bin").alias("target"), F.lit(0).cast("long").alias("shift"))
     out = pieces.join(moves, "bin", "left")

@@ -12,20 +12,28 @@ At scale one transform of the whole corpus has no place, and most text needs
 none. A window of LENGTH bytes is represented by its least K-gram, its anchor
 (anchors.py): equal windows have equal anchors, so windows of an anchor that
 occurs once are unique. Occurrences with equal segments (the text of all the
-windows that an anchor stands for) repeat as a whole. Only anchors with several
-different segments need the transform: one copy of each segment goes to a batch
-of about BATCH_BYTES by its anchor, and the batches are expanded independently.
-An anchor with more than ANCHOR_SEGMENTS segments would not fit a batch: the
-hashes (two of 64 bits) of its segments' windows are counted instead, exactly
-and distributed.
+windows that an anchor stands for, told apart by digests of 128 bits) repeat as a
+whole. Windows of anchors with several different segments are decided by the
+transform: one copy of each segment goes to a batch of about BATCH_BYTES by its
+group, and the batches are expanded independently.
+
+A group of more than GROUP_SEGMENTS segments is narrowed first. Its segments are cut at
+fixed distances between window and anchor (WIDTHS, halved from step to step), and
+the parts are grouped anew by their core, the bytes that all windows of such a
+part hold: equal windows have equal cores, so they stay together. A segment has
+mostly one part whose core it shares with others, however many steps it takes;
+equal parts become one. At the last width a part is one window, and
+its core the window itself: no group is left that is too large.
 
 Defined cases: null text is empty; matches never cross documents; overlaps
 count; strings are judged on the input. Rows with equal doc_id and text repeat
-each other. A null doc_id is an id like any other. Other columns are ignored.
+each other. A null doc_id is an id like any other. Very long texts are read in
+pieces that overlap by LENGTH - 1 bytes. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +42,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchored, covered
-from .common import Rolling, as_long, batch_of, conf_text_batches, keyed, longs, ranges, real_id, settle, slices, table
-from .repeats import ANCHORS, ANCHORS_SQL, per_document, repeated, span_lists
+from .common import SLICE_BYTES, as_long, batch_of, byte_grams, conf_text_batches, digests, keyed, longs, ranges, real_id, settle, slices, table
+from .repeats import ANCHORS, ANCHORS_SQL, matched, per_document, repeated, span_lists
 
 LENGTH = 200
 K = 24
 BATCH_BYTES = 1 << 20
-ANCHOR_SEGMENTS = 2_000
+GROUP_SEGMENTS = 500
+WIDTHS = (88, 44, 22, 11, 5, 2, 1)
 #: Ends every segment in a transform; no UTF-8 text has this byte.
 END = 255
 
@@ -117,23 +126,50 @@ def shares_prefix(s: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offs in slices(batches, "text"):
-        row, lo, n, _, anchor, segment = anchored(Rolling(data, 3), offs, LENGTH, K)
-        yield batch_of(ANCHORS, as_long(anchor), as_long(segment), longs(batch, "k")[row], longs(batch, "h")[row], lo, n)
+    for batch, data, offs in slices(batches, "text", 1 << 18):
+        k, h = longs(batch, "k"), longs(batch, "h")
+        step = SLICE_BYTES if len(offs) == 2 else len(data) or 1  # a long document goes in pieces
+        for a in range(0, len(data), step):
+            part = data[a : a + step + LENGTH - 1]
+            row, lo, n, shift, anchor = anchored(byte_grams(part, K, 3), offs if step >= len(data) else np.array([0, len(part)]), LENGTH, K)
+            raw = part.tobytes()
+            s1, s2 = digests(raw[x : x + m] for x, m in zip(lo.tolist(), (n + LENGTH - 1).tolist(), strict=True))
+            yield batch_of(ANCHORS, as_long(anchor), s1, s2, k[row], h[row], lo + a - offs[row], n, shift)
 
 
-SEGMENTS = pa.schema([("anchor", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("single", pa.bool_()), ("body", pa.binary())])
-SEGMENTS_SQL = "anchor long, k long, h long, lo long, n long, single boolean, body binary"
+#: g: the group whose windows may be equal. single: no other occurrence of the whole segment.
+SEGMENTS = pa.schema([("g", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("shift", pa.int64()), ("single", pa.bool_()), ("body", pa.binary())])
+SEGMENTS_SQL = "g long, k long, h long, lo long, n long, shift long, single boolean, body binary"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offs in slices(batches, "text"):
-        row, anchor, lo, n, single = span_lists(batch, "spans", "anchor", "lo", "n", "single")
-        raw, at = data.tobytes(), offs[row] + lo
-        body = [raw[a : a + m] for a, m in zip(at.tolist(), (n + LENGTH - 1).tolist(), strict=True)]
+        row, anchor, lo, n, shift, single = span_lists(batch, "spans", "anchor", "lo", "n", "shift", "single")
+        raw, at, k, h = data.tobytes(), offs[row] + lo, longs(batch, "k"), longs(batch, "h")
         for a in range(0, len(row), 10_000):
             b = slice(a, a + 10_000)
-            yield batch_of(SEGMENTS, anchor[b], longs(batch, "k")[row[b]], longs(batch, "h")[row[b]], lo[b], n[b], single[b].astype(bool), body[b])
+            body = [raw[x : x + m] for x, m in zip(at[b].tolist(), (n[b] + LENGTH - 1).tolist(), strict=True)]
+            yield batch_of(SEGMENTS, anchor[b], k[row[b]], h[row[b]], lo[b], n[b], shift[b], single[b].astype(bool), body)
+
+
+CUT = pa.schema([*SEGMENTS, ("s1", pa.int64()), ("s2", pa.int64())])
+CUT_SQL = SEGMENTS_SQL + ", s1 long, s2 long"
+
+
+def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The segments' parts, cut where the distance of window and anchor is a multiple of width, by core."""
+    for batch in batches:
+        out = []
+        for g, k, h, lo, n, shift, single, body in zip(*[c.to_pylist() for c in batch.select(SEGMENTS.names).columns], strict=True):
+            for cell in range((shift - n + 1) // width, shift // width + 1):
+                near, far = cell * width, min((cell + 1) * width - 1, LENGTH - K)
+                first, last = shift - min(far, shift), shift - max(near, shift - n + 1)
+                core = b"%d %d " % (g, cell) + body[shift - near : shift - far + LENGTH]
+                group = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
+                out.append((group, k, h, lo + first, last - first + 1, shift - first, single, body[first : last + LENGTH]))
+        for a in range(0, len(out), 10_000):
+            cols = [*zip(*out[a : a + 10_000], strict=True)]
+            yield batch_of(CUT, *cols, *digests(cols[-1]))
 
 
 SPANS = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
@@ -160,42 +196,45 @@ def _expand(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(k[o]), pa.array(h[o]), pa.array(lo[o] + a - begin[o]), pa.array(z - a + 1)], schema=SPANS)
 
 
-WINDOWS = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("single", pa.bool_()), ("w1", pa.int64()), ("w2", pa.int64())])
-WINDOWS_SQL = "k long, h long, lo long, single boolean, w1 long, w2 long"
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both hashes of every window of each segment."""
-    for batch in batches:
-        for piece, data, offs in slices(iter([batch]), "body", 1 << 18):
-            n = longs(piece, "n")
-            at = ranges(offs[:-1], n)
-            row = np.repeat(np.arange(len(n)), n)
-            w1, w2 = Rolling(data, 5).spans(at, at + LENGTH), Rolling(data, 6).spans(at, at + LENGTH)
-            single = piece.column(piece.schema.get_field_index("single")).to_numpy(zero_copy_only=False).astype(bool)
-            yield batch_of(WINDOWS, longs(piece, "k")[row], longs(piece, "h")[row], longs(piece, "lo")[row] + at - offs[row], single[row], as_long(w1), as_long(w2))
+def narrowed(segments: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
+    """The segments in groups of at most GROUP_SEGMENTS different ones, their bytes, and the windows (k, h, lo, n) that turn out to be repeated on the way."""
+    small, size, spans = None, 0, None
+    for width in [None, *WIDTHS]:
+        if width is not None:
+            parts = settle(segments.mapInArrow(lambda it, width=width: _cut(it, width), CUT_SQL))
+            one = F.min(F.struct("single", "k", "h", "lo", "n", "shift", "body"))  # one that is no single, if there is one
+            kinds = settle(parts.groupBy("g", "s1", "s2").agg(F.count("*").alias("c"), one.alias("one")))
+            more = matched(parts.where("single"), settle(kinds.where("c > 1").select("g", "s1", "s2", "c")), ["g", "s1", "s2"]).select(*SPANS.names)
+            spans = more if spans is None else spans.unionByName(more)
+            segments = kinds.select("g", "one.k", "one.h", "one.lo", "one.n", "one.shift", (F.col("one.single") & (F.col("c") == 1)).alias("single"), "one.body")
+        groups = settle(segments.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.col("n") + LENGTH).alias("size"), (F.count("*") > GROUP_SEGMENTS).alias("wide")).where("c > 1"))
+        own = matched(segments, groups.drop("size"), ["g"])
+        fit = own.where("not wide").drop("wide")
+        small = fit if small is None else small.unionByName(fit)
+        wide, fits = groups.agg(F.count_if("wide"), F.sum(F.when(~F.col("wide"), F.col("size")))).head()
+        size += fits or 0
+        if not wide:
+            break
+        segments = settle(own.where("wide").drop("wide"))
+    return small, size, spans
 
 
 def repeated_spans(own: DataFrame) -> DataFrame:
     """k, h, lo, n: windows (bytes lo ... lo + n - 1 of the document are their starts) that also start elsewhere."""
     found = settle(repeated(own.mapInArrow(_anchors, ANCHORS_SQL)))
-    spans = ["k", "h", "lo", "n"]
+    spans, segment = SPANS.names, ["anchor", "s1", "s2"]
     several = found.where("several")
-    segments = settle(several.groupBy("anchor", "segment").agg(F.count("*").alias("c"), F.min(F.struct(*spans)).alias("one")))
-    wide = segments.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > ANCHOR_SEGMENTS).select("anchor")
-    total = segments.agg(F.sum(F.col("one.n") + LENGTH)).head()[0] or 0
-    parts = -(-total // BATCH_BYTES) or 1
-    copies = several.join(segments.where("c > 1").select("anchor", "segment"), ["anchor", "segment"]).select(*spans)
+    segments = settle(several.groupBy(*segment).agg(F.count("*").alias("c"), F.min(F.struct(*spans, "shift")).alias("one")))
+    copies = matched(several, settle(segments.where("c > 1").select(*segment, "c")), segment).select(*spans)
 
-    needed = per_document(segments.select("one.k", "one.h", "anchor", "one.lo", "one.n", (F.col("c") == 1).alias("single")), "anchor", "lo", "n", "single")
+    fields = ["anchor", "lo", "n", "shift", "single"]
+    needed = per_document(segments.select("one.k", "one.h", "anchor", "one.lo", "one.n", "one.shift", (F.col("c") == 1).alias("single")), *fields)
     bodies = settle(own.join(needed, ["k", "h"]).mapInArrow(_segments, SEGMENTS_SQL))
-    marked = bodies.join(wide.withColumn("wide", F.lit(True)), "anchor", "left")
-    batches = marked.where("wide is null").drop("wide").withColumn("batch", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
-    expanded = batches.groupBy("batch").applyInArrow(_expand, SPANS_SQL)
-    windows = marked.where("wide").select("k", "h", "lo", "n", "single", "body").mapInArrow(_windows, WINDOWS_SQL)
-    often = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    counted = windows.where("single").join(often, ["w1", "w2"]).select("k", "h", "lo", F.lit(1).cast("long").alias("n"))
-    return found.where("not several").select(*spans).unionByName(copies).unionByName(expanded).unionByName(counted)
+    small, size, on_the_way = narrowed(bodies)
+    parts = -(-size // BATCH_BYTES) or 1
+    expanded = small.withColumn("batch", F.pmod(F.xxhash64("g"), F.lit(parts))).groupBy("batch").applyInArrow(_expand, SPANS_SQL)
+    out = found.where("not several").select(*spans).unionByName(copies).unionByName(expanded)
+    return out if on_the_way is None else out.unionByName(on_the_way)
 
 
 KEPT = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])

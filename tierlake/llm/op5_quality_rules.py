@@ -7,9 +7,13 @@ CONTENT_SHARE of its words and the base rules don't reject it.
 
 The CRF is fitted by maximum likelihood on a bounded sample of labelled
 documents: at most TRAIN_ROWS, of at most TRAIN_BYTES each, and only rows whose
-crc32(doc_id as text) mod 3 is not 1. There are no labels for lines, so a line
-takes its document's: content in documents of quality 1, boilerplate in those of
-quality 0. Decoding runs over every line of every whole text.
+crc32(doc_id as text) mod 3 is not 1. Labels name documents, not lines, so lines
+are partly supervised: those of documents of quality 1 are content; in documents
+of quality 0 the states are hidden, but for one line at least that is boilerplate.
+A line-by-line fit starts from all of these as boilerplate and finds those that
+look like content elsewhere; then the chain is fitted, its Viterbi paths replace
+the hidden states, and it is fitted again. Transitions are thus learned
+from documents that have both kinds of lines. Decoding runs over every line of every whole text.
 
 Defined cases: null text has no words (base_failed). Without labels, or with one
 class alone, all lines are content, and the base rules decide. Repeated rows are
@@ -25,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import U64, Rolling, batch_of, conf_text_batches, mix, slices, table, word_hashes, words
+from .common import U64, batch_of, conf_text_batches, grams, mix, slices, span_hashes, table, word_hashes, words
 from .op9_quality_classifier import sample
 
 TRAIN_ROWS = 1_500
@@ -36,7 +40,8 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: Lines in a training sequence; longer documents are parted.
 TRAIN_LINES = 32
-STEPS = 250
+STEPS = 200
+RIDGE = 1e-4
 
 BOILERPLATE, CONTENT = 0, 1
 FEATURES = ["one", "log_words", "short", "symbols", "bangs", "capitals", "digits", "word_length", "ends_sentence", "again", "bars", "odd", "seen", "edge"]
@@ -61,7 +66,7 @@ class Lines:
         full = np.flatnonzero(word_to > word_from)
         self.lines_from, self.lines_to, self.word_from, self.word_to = lines_from[full], lines_to[full], word_from[full], word_to[full]
         self.doc = np.searchsorted(offs, self.lines_from, "right") - 1
-        whole = Rolling(data, 11).spans(self.lines_from, self.lines_to) ^ mix(self.doc.astype(U64) + U64(1))
+        whole = span_hashes(data, self.lines_from, self.lines_to, 11) ^ mix(self.doc.astype(U64) + U64(1))
         _, at = np.unique(whole, return_index=True)
         self.seen = np.ones(len(full), bool)  # equal to an earlier line of the document
         self.seen[at] = False
@@ -76,9 +81,9 @@ class Lines:
         repeated = np.zeros(len(self.starts) + 1, np.int64)
         if len(self.starts) >= WINDOW:
             row = np.repeat(np.arange(self.docs), n_words)
-            grams = Rolling(self.hashes, 12).grams(WINDOW)
-            inside = np.flatnonzero(row[: len(grams)] == row[WINDOW - 1 :])
-            keys = grams[inside] ^ mix(row[inside].astype(U64) + U64(1))
+            runs = grams(self.hashes, WINDOW, 12)
+            inside = np.flatnonzero(row[: len(runs)] == row[WINDOW - 1 :])
+            keys = runs[inside] ^ mix(row[inside].astype(U64) + U64(1))
             order = np.argsort(keys)
             same = keys[order[1:]] == keys[order[:-1]]
             twice = np.zeros(len(keys), bool)
@@ -167,47 +172,81 @@ class Crf:
         return viterbi(features @ self.weights, lengths, self.transitions) == CONTENT
 
 
-def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
 
+def _adam(params: list[np.ndarray], gradients, steps: int) -> None:
+    moments = [np.zeros_like(p) for p in params for _ in range(2)]
+    for step in range(1, steps + 1):
+        for q, g, a, b in zip(params, gradients(), moments[::2], moments[1::2], strict=True):
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
+            q -= 0.05 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
 
-def train(sequences: list[tuple[np.ndarray, int]]) -> Crf:
-    """sequences: (features, label of all lines). Adam on the likelihood, with each class as heavy as the other."""
-    labels = np.array([y for _, y in sequences])
-    if not len(labels) or labels.min() == labels.max():
-        return Crf()
-    n, longest = len(sequences), max(len(x) for x, _ in sequences)
-    x = np.zeros((n, longest, len(FEATURES)))
-    mask = np.zeros((n, longest))
-    for i, (f, _) in enumerate(sequences):
-        x[i, : len(f)] = f
-        mask[i, : len(f)] = 1
-    heavy = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / n
-    w, t = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
-    moments = [np.zeros_like(p) for p in (w, w, t, t)]
-    truth = np.eye(2)[labels]
-    pairs = mask[:, 1:].sum(1)
-    for step in range(1, STEPS + 1):
+
+def line_weights(x: np.ndarray, y: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Logistic weights of single lines' features: positive for content."""
+    w = np.zeros(x.shape[1])
+    _adam([w], lambda: [x.T @ (heavy * (1 / (1 + np.exp(-(x @ w))) - y)) + RIDGE * w], 3 * STEPS)
+    return w
+
+
+def fit_chain(crf: Crf, x: np.ndarray, mask: np.ndarray, states: np.ndarray, heavy: np.ndarray) -> None:
+    """Adam on the likelihood of the states (sequences x lines), from the weights that crf has. heavy: the sequences' weights."""
+    w, t = crf.weights, crf.transitions
+    n, longest = mask.shape
+    truth = np.eye(2)[states] * mask[..., None]
+    moves = np.einsum("nka,nkb,n->ab", truth[:, :-1], truth[:, 1:], heavy)
+    flat = x.reshape(-1, x.shape[-1])
+
+    def gradients() -> list[np.ndarray]:
         s = x @ w
         ahead = np.zeros((n, longest, 2))
         ahead[:, 0] = s[:, 0]
         for k in range(1, longest):
-            ahead[:, k] = _logsumexp(ahead[:, k - 1, :, None] + t[None], 1) + s[:, k]
+            ahead[:, k] = np.logaddexp(ahead[:, k - 1, :1] + t[0], ahead[:, k - 1, 1:] + t[1]) + s[:, k]
         behind = np.zeros((n, longest, 2))
         for k in range(longest - 2, -1, -1):
-            more = _logsumexp(t[None] + (s[:, k + 1] + behind[:, k + 1])[:, None, :], 2)
-            behind[:, k] = more * mask[:, k + 1, None]
-        z = _logsumexp(ahead[:, 0] + behind[:, 0], 1)
+            on = s[:, k + 1] + behind[:, k + 1]
+            behind[:, k] = np.logaddexp(on[:, :1] + t[:, 0], on[:, 1:] + t[:, 1]) * mask[:, k + 1, None]
+        z = np.logaddexp(*(ahead[:, 0] + behind[:, 0]).T)
         p = np.exp(ahead + behind - z[:, None, None]) * mask[..., None]
         two = np.exp(ahead[:, :-1, :, None] + t[None, None] + (s[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-        gw = np.einsum("nlf,nls,n->fs", x, p - truth[:, None, :] * mask[..., None], heavy) + 1e-3 * w
-        gt = np.einsum("nlab,n->ab", two, heavy) - np.einsum("na,nb,n,n->ab", truth, truth, pairs, heavy) + 1e-3 * t
-        for q, g, a, b in ((w, gw, moments[0], moments[1]), (t, gt, moments[2], moments[3])):
-            a += 0.1 * (g - a)
-            b += 0.001 * (g * g - b)
-            q -= 0.05 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    return Crf(w, t)
+        return [flat.T @ ((p - truth) * heavy[:, None, None]).reshape(-1, 2) + RIDGE * w, np.einsum("nlab,n->ab", two, heavy) - moves + RIDGE * t]
+
+    _adam([w, t], gradients, STEPS)
+
+
+def train(sequences: list[tuple[np.ndarray, int]]) -> Crf:
+    """sequences: (features, quality of the document). Both qualities are as heavy as each other."""
+    labels = np.array([y for _, y in sequences])
+    if not len(labels) or labels.min() == labels.max():
+        return Crf()
+    lengths = np.array([len(f) for f, _ in sequences])
+    n, longest = len(sequences), lengths.max()
+    mask = (np.arange(longest) < lengths[:, None]).astype(float)
+    x = np.zeros((n, longest, len(FEATURES)))
+    x[mask > 0] = np.concatenate([f for f, _ in sequences])
+    heavy = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / n
+    hidden = (labels == 0)[:, None] & (mask > 0)
+
+    def with_one(states: np.ndarray, content: np.ndarray) -> np.ndarray:
+        """These states in documents of quality 0, where the least content-like line is boilerplate in any case; content in the others."""
+        out = np.where(hidden, states, CONTENT)
+        worst = np.where(mask > 0, content, np.inf).argmin(1)
+        out[labels == 0, worst[labels == 0]] = BOILERPLATE
+        return out
+
+    inside = mask > 0
+    each = np.repeat(heavy / np.maximum(lengths, 1), lengths)
+    single = x @ line_weights(x[inside], np.repeat(labels, lengths).astype(float), each)
+    states = with_one(np.where(single > -1, CONTENT, BOILERPLATE), single)
+    crf = Crf(np.zeros((len(FEATURES), 2)), np.zeros((2, 2)))
+    for _ in range(2):
+        fit_chain(crf, x, mask, states, heavy)
+        path = np.full(mask.shape, CONTENT)
+        path[inside] = crf.content(x[inside], lengths)
+        scores = x @ crf.weights
+        states = with_one(path, scores[..., CONTENT] - scores[..., BOILERPLATE])
+    return crf
 
 
 # --------------------------------------------------------------------------

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Rolling, as_long, batch_of, conf_text_batches, keyed, longs, mix, real_id, row_of, settle, slices, table, texts, word_hashes, words
+from .common import U64, Tables, as_long, batch_of, conf_text_batches, digests, grams, key_of, keyed, longs, mix, real_id, row_of, settle, slices, table, texts, unused, word_hashes, words
 from .components import components
 
 SHINGLE = 5
@@ -53,16 +53,16 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(row, shingle, weight) of all rows, sorted by row and shingle, and the rows' numbers of words."""
     starts, ends, first = words(data, offs)
     n = np.diff(first)
-    grams = Rolling(word_hashes(data, starts, ends), 21).grams(SHINGLE)
+    hashes = grams(word_hashes(data, starts, ends), SHINGLE, 21)
     row = np.repeat(np.arange(len(n)), n)
-    inside = np.flatnonzero(row[: len(grams)] == row[SHINGLE - 1 :]) if len(grams) else np.zeros(0, np.int64)
-    row, grams = row[inside], grams[inside]
-    order = np.lexsort((grams, row))
-    row, grams = row[order], grams[order]
+    inside = np.flatnonzero(row[: len(hashes)] == row[SHINGLE - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+    row, hashes = row[inside], hashes[inside]
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
     at = np.flatnonzero(new)
-    return row[at], grams[at], np.diff(np.append(at, len(row))), n
+    return row[at], hashes[at], np.diff(np.append(at, len(row))), n
 
 
 def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows: int, size: int = COMPONENTS) -> np.ndarray:
@@ -99,7 +99,7 @@ SIGNED_SQL = "k long, h long, t1 long, t2 long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """t1, t2: 128 bits that stand for the text (0, 0: no words); bands: a hash per band, none without shingles."""
+    """t1, t2: a digest of the text's bytes (0, 0: no words); bands: a hash per band, none without shingles."""
     for batch, data, offs in slices(batches, "text", 1 << 20):
         row, shingle, weight, n = shingles(data, offs)
         docs = len(n)
@@ -109,7 +109,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = mix(band * U64(0x9E3779B97F4A7C15) + signed[:, :, k])
         some = np.bincount(row, minlength=docs) > 0
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * BANDS)), pa.int32()), pa.array(as_long(band[some].reshape(-1))))
-        t1, t2 = (np.where(n > 0, as_long(Rolling(data, seed).spans(offs[:-1], offs[1:])), 0) for seed in (31, 32))
+        raw = data.tobytes()
+        t1, t2 = (np.where(n > 0, t, 0) for t in digests(raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)))
         yield batch_of(SIGNED, longs(batch, "k"), longs(batch, "h"), t1, t2, lists)
 
 
@@ -291,14 +292,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the least doc_id, and all its columns. Documents without words stay; rows with equal doc_id and text are one document."""
     conf_text_batches(docs.sparkSession)
-    names = docs.columns
-    found = settle(classes(keyed(docs)).groupBy("k", "h").agg(F.count("*").alias("__c"), F.first(F.expr("struct(k, h) != struct(class_k, class_h)")).alias("__near")).where("__near or __c > 1"))
-    found = found.withColumnsRenamed({"k": "__k", "h": "__h"})
-    marked = docs.withColumns({"__k": F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), "__h": F.xxhash64(docs["text"]).bitwiseAND(F.lit(0x7FFFFFFF))})
-    out = marked.join(found, ["__k", "__h"], "left").where("not coalesce(__near, false)")
-    if not found.where("not __near").isEmpty():
-        again = out.where("__c > 1").dropDuplicates(["__k", "__h"])
-        out = out.where("__c is null").unionByName(again)
+    names, (k, h, c, near) = docs.columns, unused(docs, "k", "h", "c", "near")
+    found = classes(keyed(docs)).groupBy("k", "h").agg(F.count("*").alias(c), F.first(F.expr("struct(k, h) != struct(class_k, class_h)")).alias(near)).where(F.col(near) | (F.col(c) > 1))
+    found = settle(found.withColumnsRenamed({"k": k, "h": h}))
+    marked = docs.withColumns(dict(zip((k, h), key_of(docs["doc_id"], docs["text"]), strict=True)))
+    out = marked.join(found, [k, h], "left").where(~F.coalesce(F.col(near), F.lit(False)))
+    if not found.where(~F.col(near)).isEmpty():
+        again = out.where(F.col(c) > 1).dropDuplicates([k, h])
+        out = out.where(F.col(c).isNull()).unionByName(again)
     return out.select(*names)
 
 

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_long, conf_text_batches, slices, table, texts
+from . import common
+from .common import conf_text_batches, slices, span_hashes, table
 from .op9_quality_classifier import _KIND, tokens
 
 SEED = 3
@@ -40,12 +41,12 @@ def hashed_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     starts, ends, _, low = tokens(data, offs)
     word = _KIND[data[starts]] == 1 if len(starts) else np.zeros(0, bool)
     starts, ends = starts[word], ends[word]
-    return Rolling(low, 7).spans(starts, ends), np.searchsorted(starts, offs)
+    return span_hashes(low, starts, ends, 7), np.searchsorted(starts, offs)
 
 
 def grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams within documents, and where each starts."""
-    got = Rolling(words, 8).grams(n)
+    got = common.grams(words, n, 8)
     ok = np.ones(len(got), bool)
     for k in range(1, n):  # no n-gram runs over a border
         at = first[1:-1] - k
@@ -80,7 +81,7 @@ class Block:
         hashes, short = [], []
         for k, w in enumerate(self.words):
             n = min(SEED, len(w))
-            (hashes if n == SEED else short).extend((int(h), k) for h in np.unique(Rolling(w, 8).grams(n)))
+            (hashes if n == SEED else short).extend((int(h), k) for h in np.unique(common.grams(w, n, 8)))
         self.hashes, self.items = self._sorted(hashes)
         self.short = {n: self._sorted([(h, k) for h, k in short if len(self.words[k]) == n]) for n in range(1, SEED)}
 

@@ -15,7 +15,8 @@ training and sets the temperature. Scoring covers every whole text.
 Defined cases: null or empty text, or white space alone: score 0.0. No label,
 or one class alone: the share of label 1 (0.5 without labels) for all others.
 Null labels are ignored; a doc_id with several labels counts as its greatest.
-Repeated rows are scored each. Other columns are ignored.
+Repeated rows are scored each. A null doc_id is scored like any, and not held
+out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, conf_text_batches, longs, slices, table
+from .common import conf_text_batches, longs, slices, span_hashes, table
 
 BUCKETS_LOG2 = 15
 DIMENSIONS = 64
@@ -66,7 +67,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first, low = tokens(data, offs)
-    hashes = Rolling(low, 9).spans(starts, ends)
+    hashes = span_hashes(low, starts, ends, 9)
     got = (hashes >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int32)
     if len(got):
         place = np.arange(len(got)) - np.repeat(first[:-1], np.diff(first))
@@ -88,7 +89,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> DataFrame:

@@ -4,7 +4,8 @@ An occurrence (k, h, lo, n) is a document and n neighbouring windows of it that
 one anchor stands for (see anchors.py). Most anchors occur once in the corpus;
 their windows are unique and leave at once. Everything here is grouping and
 joins on hashes, never a group's rows in one task: a passage that a third of
-all documents share costs a partial count per task and a skew-split join.
+all documents share costs a partial count per task, and its rows are joined
+where they are.
 """
 
 from __future__ import annotations
@@ -14,16 +15,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, unused
 
-ANCHORS = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
-ANCHORS_SQL = "anchor long, segment long, k long, h long, lo long, n long"
+ANCHORS = pa.schema([("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("shift", pa.int64())])
+ANCHORS_SQL = "anchor long, s1 long, s2 long, k long, h long, lo long, n long, shift long"
+
+#: A group with more than this part of all rows is hot; there can't be more than HOT of them, so they are broadcast.
+HOT = 10_000
+
+
+def matched(rows: DataFrame, groups: DataFrame, keys: list[str], counts: str = "c") -> DataFrame:
+    """The rows whose keys (longs) are in groups (a settled table, one row per key; counts: how many rows the key has), with the groups' other columns.
+
+    Rows of hot groups are joined by broadcast, and spread by a hash of the whole row on their way.
+    """
+    extra = [c for c in groups.columns if c not in keys and c != counts]
+    total = groups.agg(F.sum(counts)).head()[0] or 0
+    hot = groups.where(F.col(counts) > F.lit(total // HOT + 1))
+    if hot.isEmpty():
+        return rows.join(groups.drop(counts), keys)
+    own, (is_hot, spread, found) = rows.columns, unused(rows, "hot", "spread", "found")
+    hot = hot.select(*keys, *[F.col(c).alias(f"{c}_hot") for c in extra], F.lit(True).alias(is_hot))
+    flagged = rows.join(F.broadcast(hot), keys, "left")
+    flagged = flagged.withColumn(spread, F.when(F.col(is_hot), F.xxhash64(*own)).otherwise(F.col(keys[0])))
+    cold = groups.where(F.col(counts) <= F.lit(total // HOT + 1)).select(F.col(keys[0]).alias(spread), *keys[1:], *[F.col(c).alias(f"{c}_cold") for c in extra], F.lit(True).alias(found))
+    out = flagged.join(cold, [spread, *keys[1:]], "left").where(F.col(is_hot) | F.col(found))
+    return out.select(*own, *[F.when(F.col(is_hot), F.col(f"{c}_hot")).otherwise(F.col(f"{c}_cold")).alias(c) for c in extra])
 
 
 def repeated(anchors: DataFrame) -> DataFrame:
     """The occurrences of anchors that occur more than once, with `several`: the anchor has more than one segment."""
-    found = settle(anchors.groupBy("anchor").agg(F.count("*").alias("c"), F.min("segment").alias("low"), F.max("segment").alias("high")).where("c > 1"))  # written first: a join with what is being grouped couldn't split a hot anchor
-    return anchors.join(found.select("anchor", (F.col("low") != F.col("high")).alias("several")), "anchor")
+    differ = (F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))
+    found = settle(anchors.groupBy("anchor").agg(F.count("*").alias("c"), differ.alias("several")).where("c > 1"))
+    return matched(anchors, found, ["anchor"])
 
 
 def per_document(spans: DataFrame, *fields: str) -> DataFrame:
