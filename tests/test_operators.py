@@ -1,26 +1,31 @@
 """Hand-checked cases and properties of the library's operators."""
 
+import datetime
 import os
 import random
 import subprocess
 import sys
 
+import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tierlake.config import Config
 from tierlake.functions import scalars as S
 from tierlake.operators import evict, lookup, objects, oplog, stats
-from tierlake.plans.prefix import running
+from tierlake.plans.prefix import nearest_below, running
 from tierlake.sources import tables
+from tierlake.streaming import jobs
 
 
 def test_ranges_take_the_greatest_key(spark):
     state = spark.createDataFrame([(1, 101.0), (5, 105.0), (9, 109.0), (13, 113.0), (21, 221.0)], "k long, v double")
     ranges = spark.createDataFrame([(0, 1, 21), (1, 13, 1), (2, 22, 30)], "id long, lo long, hi long")
-    assert {r.id: r.v for r in lookup.last_in(ranges, state, 4).collect()} == {0: 221.0, 1: 113.0, 2: None}
+    assert {r.id: r.v for r in lookup.last_in(ranges, state).collect()} == {0: 221.0, 1: 113.0, 2: None}
+    assert {r.id: r.n for r in lookup.counts_in(ranges, state, "n").collect()} == {0: 5, 1: 0, 2: 0}
+    assert [r.id for r in lookup.ranges_with(ranges, state).collect()] == [0]
 
 
 def test_log_folds_like_a_dict(spark):
@@ -82,27 +87,102 @@ def test_percentiles(spark):
 
 def test_clock_gives_a_second_chance(spark):
     pages = spark.createDataFrame([(0, i, i in (0, 2)) for i in range(4)], "shard long, page long, accessed boolean")
-    assert [(r.page, r.turn) for r in evict.clock(pages, 3 * 4096).orderBy("turn").collect()] == [(1, 0), (3, 1), (0, 2)]
-
-
-def test_blocks_wrap_around(spark):
-    log = spark.createDataFrame([(0, 1, "alloc", 1), (0, 2, "alloc", 2), (0, 3, "free", 1), (0, 4, "alloc", 3), (0, 5, "alloc", 4)], "device long, seq long, op string, k long")
-    assert [r.block for r in objects.allocated(log, 2).orderBy("seq").collect()] == [0, 1, 0, 0, -1]
-
-
-@given(st.binary(max_size=300))
-def test_checksums(raw):
-    a = b = c = d = 0
-    for x in raw:
-        a = (a << 1 & S.U32) ^ x
-        a ^= a >> 16
-        b = ((b << 1 | b >> 31) & S.U32) ^ x
-        c = (c * 31 + x) & 0x7FFFFFFF
-        d = (d * 33 + x) & S.U32
-    assert S.fold_shift(raw) == a
-    assert S.fold_rotate(raw) == b
-    assert S.fold_31(raw) == (c or 1)
-    assert S.fold_33(raw) == abs(d - (1 << 32) if d >> 31 else d) + 1
+    assert [(r.page, r.turn) for r in evict.second_chance(pages, 3 * 4096).orderBy("turn").collect()] == [(1, 0), (3, 1), (0, 2)]
+
+
+@given(st.lists(st.binary(max_size=300), max_size=5))
+def test_checksums(values):
+    data, n = np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values], np.int64)
+    want = []
+    for raw in values:
+        a = b = c = 0
+        d = 5381
+        for x in raw:
+            a = (a << 1 & S.U32) ^ x
+            a ^= a >> 16
+            b = ((b << 1 | b >> 31) & S.U32) ^ x
+            c = (c * 31 + x) & 0x7FFFFFFF
+            d = (d * 33 + x) & S.U32
+        want.append((a, b, c or 1, abs(d - (1 << 32) if d >> 31 else d) + 1))
+    assert [*zip(*(f(data, n).tolist() for f in (S.fold_shift, S.fold_rotate, S.fold_31, S.fold_33)), strict=True)] == want
+
+
+def test_hash_of_a_known_text(spark):
+    assert spark.createDataFrame([("a",), ("",), (None,)], "t string").select(S.hash33(F.col("t")).alias("h")).collect() == [(177671,), (5382,), (None,)]
+
+
+def test_key_hash_signs_bytes(spark):
+    def want(raw):
+        h = 2166136261
+        for b in raw:
+            h = ((h ^ (b | 0xFFFFFF00 if b >= 128 else b)) * 16777619) & S.U32
+        return h
+
+    words = ["é", "naïve", "x" * 300, "日本"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(S.fnv1a32(F.col("w")).alias("h")).collect()
+    assert [r.h for r in got] == [want(w.encode()) for w in words]
+
+
+def test_slices_of_many_partitions(spark):
+    """Orders over the whole table hold at thousands of shuffle partitions."""
+    from tierlake.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    some = "/root/testdata/sf0.001"
+    try:
+        plain = {n: sorted(map(str, QUERIES[n](spark, some).collect())) for n in ("leaf_pack", "lba_allocate", "landing_epochs")}
+        spark.conf.set("spark.sql.shuffle.partitions", "2000")
+        assert {n: sorted(map(str, QUERIES[n](spark, some).collect())) for n in plain} == plain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=12, unique=True), st.lists(st.integers(-5, 70), min_size=1, max_size=12))
+@settings(max_examples=5, deadline=None)
+def test_nearest_keys(spark, keys, probes):
+    state = spark.createDataFrame([(k, k * 2) for k in keys], "k long, v long")
+    got = nearest_below(spark.createDataFrame([(p, i) for i, p in enumerate(probes)], "p long, i long"), "p", state, "k", ["v"])
+    assert sorted((r.i, r.k) for r in got.collect() if r.k is not None) == [(i, max(k for k in keys if k <= p)) for i, p in enumerate(probes) if min(keys) <= p]
+    assert got.count() == len(probes)
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    """A stream that is stopped after some files and started again with more ends where one that read all at once does."""
+    rng = random.Random(9)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, rng.randrange(12), rng.choice(["view", "purchase", "error", "click"]), float(i), start + datetime.timedelta(hours=i)) for i in range(240)]
+    schema = "event_id long, user_id long, event_type string, value double, ts timestamp"
+
+    def run(name, sizes):
+        folder = tmp_path / name
+        folder.mkdir()
+        at = 0
+        for i, n in enumerate(sizes):
+            spark.createDataFrame(rows[at : at + n], schema).coalesce(1).write.parquet(f"file://{folder}/in/{i}")
+            at += n
+            events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"file://{folder}/in")
+            ops = tables.operations(events)
+            out = [jobs.compacted_state(ops, f"file://{folder}/a"), jobs.hits_by_key(ops, f"file://{folder}/b"), jobs.dirty_queues(ops, 2, 3, f"file://{folder}/c"), jobs.window_counts(events, "2 days", "1 day", base=f"file://{folder}/d"), jobs.reservoir(events, "event_type", 7, f"file://{folder}/e")]
+        return [sorted(map(str, df.collect())) for df in out]
+
+    assert run("parts", [100, 50, 90]) == run("whole", [240])
+
+
+def test_late_events_are_left_out(spark, tmp_path):
+    schema = "event_id long, event_type string, ts timestamp"
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    for i, days in enumerate([[0, 0, 1], [10], [0, 9, 10], [11]]):
+        spark.createDataFrame([(n, "view", day(n)) for n in days], schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+        events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+        got = jobs.window_counts(events, base=f"file://{tmp_path}/job").collect()
+    assert sorted((r.start, r.n) for r in got) == [(day(0), 2), (day(1), 1), (day(9), 1), (day(10), 2), (day(11), 1)]
+
+
+def test_operation_files(spark, tmp_path):
+    ops = [(i, "irs"[i % 3], i * 7 % 50, i * 7 % 50 + 3 if i % 3 == 1 else None) for i in range(500)]
+    path = f"file://{tmp_path}/ops"
+    tables.write_op_file(spark.createDataFrame(ops, "seq long, op string, a long, b long").repartition(7), path)
+    assert sorted(tuple(r) for r in tables.read_op_file(spark, path).collect()) == ops
 
 
 def test_files(spark, tmp_path):

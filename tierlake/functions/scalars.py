@@ -30,16 +30,15 @@ def shard_of(key: Column, n: int) -> Column:
 
 
 def bytes_of(value: Column) -> Column:
-    """The bytes of a short string as an array of numbers. Quadratic in its length: for keys, not for values."""
-    raw = F.hex(F.encode(value, "UTF-8"))
-    return F.transform(F.sequence(F.lit(1), F.octet_length(value)), lambda i: F.conv(F.substring(raw, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    """The bytes of a string as an array of numbers."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long"))
 
 
 def fnv1a32(key: Column) -> Column:
     """FNV-1a, 32 bits, over signed bytes: those of 128 and more are sign-extended before the exclusive or."""
     signed = F.transform(bytes_of(key), lambda b: F.when(b >= 128, b.bitwiseOR(F.lit(4294967040))).otherwise(b))
-    folded = F.aggregate(signed, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(U32)))
-    return F.when(F.octet_length(key) == 0, F.lit(2166136261).cast("long")).otherwise(folded)
+    return F.aggregate(signed, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(U32)))
 
 
 def knuth_bucket(key: Column, n: int) -> Column:
@@ -89,9 +88,43 @@ def pointer_is_valid(lba: Column, size: Column) -> Column:
     return (lba != 0) | (size != 0)
 
 
+def pointers_equal(a: Column, b: Column) -> Column:
+    """Same place and size, whatever the checksums."""
+    return (a["lba"] == b["lba"]) & (a["size"] == b["size"])
+
+
+#: Codecs by number.
+CODECS = {0: "lz4", 1: "qpl", 2: "zlib_accel"}
+
+
+def codec_name(codec: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in CODECS.items() for x in pair])[codec.cast("int")], F.lit("unknown"))
+
+
+def safe_copy(text: Column, size: int) -> tuple[Column, Column]:
+    """What fits a buffer of `size` bytes with its end mark, and 0, or -1 if that is not all of it."""
+    return F.substring(F.encode(text, "UTF-8"), 1, size - 1), F.when(F.octet_length(text) >= size, -1).otherwise(0)
+
+
+def next_value(key: Column, version: Column) -> Column:
+    """The value of a key's version; never zero, as zero deletes."""
+    value = key * 1009 + version + 1
+    return F.when(value == 0, F.lit(1)).otherwise(value)
+
+
+def plausible(key: Column, value: Column) -> Column:
+    """Can value have been read for key? -1 is a miss; others are above the key's first value."""
+    return (value == -1) | (value > key * 1009 + 1)
+
+
+def plausible_in(low: Column, high: Column, value: Column) -> Column:
+    """The same for any key of a range: the first one has the least bound."""
+    return (value == -1) | ((low <= high) & plausible(low, value))
+
+
 # --------------------------------------------------------------------------
-# Checksums of whole values. Each is linear, so a value is folded as a tree of
-# array steps instead of byte by byte.
+# Checksums of whole values. Each is linear, so all values of an Arrow batch are
+# folded together in array steps.
 
 
 @functools.lru_cache(64)
@@ -108,46 +141,68 @@ def _apply(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
     return tables[0][x & 255] ^ tables[1][x >> 8 & 255] ^ tables[2][x >> 16 & 255] ^ tables[3][x >> 24]
 
 
-def fold_shift(raw: bytes) -> int:
-    """c = (c << 1) ^ byte, then c ^= c >> 16, over all bytes."""
-    x, level = np.frombuffer(raw, np.uint8).astype(np.uint32), 0
-    while len(x) > 1:
-        if len(x) % 2:  # a leading zero changes nothing
-            x = np.append(np.uint32(0), x)
-        x = _apply(_power(level), x[0::2]) ^ x[1::2]
-        level += 1
-    return int(x[0]) if len(x) else 0
+def _to_end(n: np.ndarray) -> np.ndarray:
+    """For values of n bytes, one after another: each byte's distance to its value's end."""
+    return np.repeat(np.cumsum(n), n) - np.arange(n.sum()) - 1
+
+
+def fold_shift(data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """c = (c << 1) ^ byte, then c ^= c >> 16, over the bytes of each value: neighbours are merged from the end, level by level."""
+    x, level = data.astype(np.uint32), 0
+    while len(n) and n.max() > 1:
+        to_end = _to_end(n)
+        merged = (n + 1) // 2
+        target = np.repeat(np.cumsum(merged), n) - 1 - to_end // 2
+        left = to_end % 2 == 1
+        out = np.zeros(merged.sum(), np.uint32)
+        out[target[~left]] = x[~left]
+        out[target[left]] ^= _apply(_power(level), x[left])
+        x, n, level = out, merged, level + 1
+    out = np.zeros(len(n), np.uint32)
+    out[n > 0] = x
+    return out.astype(np.int64)
+
+
+def fold_rotate(data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """c = rotate-left(c, 1) ^ byte over the bytes of each value: a byte's rotation depends on its distance to the end modulo 32."""
+    turn = (_to_end(n) % 32).astype(np.uint64)
+    wide = data.astype(np.uint64) << turn
+    return _reduced(np.bitwise_xor, (wide & np.uint64(U32)) ^ (wide >> np.uint64(32)), n).astype(np.int64)
+
+
+def _reduced(of: np.ufunc, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(n), x.dtype)
+    some = n > 0
+    if some.any():
+        out[some] = of.reduceat(x, (np.cumsum(n) - n)[some])
+    return out
 
 
-def fold_rotate(raw: bytes) -> int:
-    """c = rotate-left(c, 1) ^ byte over all bytes: a byte's rotation depends on its distance to the end modulo 32."""
-    x = np.frombuffer(raw, np.uint8)[::-1]
-    x = np.append(x, np.zeros(-len(x) % 32, np.uint8)).reshape(-1, 32)
-    lane = np.bitwise_xor.reduce(x, axis=0).astype(np.uint64) if len(x) else np.zeros(32, np.uint64)
-    turn = np.arange(32, dtype=np.uint64)
-    turned = (lane << turn) | (lane << turn >> np.uint64(32))
-    return int(np.bitwise_xor.reduce(turned & np.uint64(U32)))
+def _polynomial(data: np.ndarray, n: np.ndarray, base: int, start: int) -> np.ndarray:
+    """h = h * base + byte modulo 2^32 from start."""
+    powers = np.multiply.accumulate(np.append(np.uint32(1), np.full(int(n.max(initial=0)), base, np.uint32)), dtype=np.uint32)
+    return _reduced(np.add, data.astype(np.uint32) * powers[_to_end(n)], n) + np.uint32(start) * powers[n]
 
 
-def fold_31(raw: bytes) -> int:
+def fold_31(data: np.ndarray, n: np.ndarray) -> np.ndarray:
     """h = h * 31 + byte modulo 2^31; zero becomes one."""
-    x = np.frombuffer(raw, np.uint8)[::-1].astype(np.uint32)
-    powers = np.multiply.accumulate(np.append(np.uint32(1), np.full(max(len(x) - 1, 0), 31, np.uint32)), dtype=np.uint32)
-    return (int(np.sum(x * powers[: len(x)], dtype=np.uint32)) & 0x7FFFFFFF) or 1
+    return np.maximum((_polynomial(data, n, 31, 0) & np.uint32(0x7FFFFFFF)).astype(np.int64), 1)
 
 
-def fold_33(raw: bytes) -> int:
-    """h = h * 33 + byte in 32 bits with sign, from 0; its absolute value plus one."""
-    x = np.frombuffer(raw, np.uint8)[::-1].astype(np.uint32)
-    powers = np.multiply.accumulate(np.append(np.uint32(1), np.full(max(len(x) - 1, 0), 33, np.uint32)), dtype=np.uint32)
-    h = int(np.sum(x * powers[: len(x)], dtype=np.uint32))
-    return abs(h - (1 << 32) if h >> 31 else h) + 1
+def fold_33(data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """h = h * 33 + byte in 32 bits with sign, from 5381; its absolute value plus one."""
+    return np.abs(_polynomial(data, n, 33, 5381).view(np.int32).astype(np.int64)) + 1
 
 
 def _of(fold):
     @F.pandas_udf(LongType())
     def checksum(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else fold(bytes(v)) for v in values], dtype="Int64")
+        known = values.notna().to_numpy()
+        raw = [bytes(v) for v in values[known]]
+        out = pd.Series(np.zeros(len(values), np.int64), dtype="Int64")
+        out[known] = fold(np.frombuffer(b"".join(raw), np.uint8), np.array([len(v) for v in raw], np.int64))
+        out[~known] = pd.NA
+        return out
 
     return lambda value: checksum(value.cast("binary"))
 

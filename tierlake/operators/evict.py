@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.prefix import running
 
 
-def _clock(pages: pd.DataFrame, target: int, page_bytes: int) -> pd.DataFrame:
-    pages = pages.sort_values("page")
-    bits, ids, shard = pages["accessed"].tolist(), pages["page"].tolist(), int(pages["shard"].iloc[0])
-    hand, freed, scanned, out = 0, 0, 0, []
-    gone = [False] * len(ids)
-    while freed < target and scanned < 2 * len(ids):
-        if bits[hand]:
-            bits[hand] = False
-        elif not gone[hand]:
-            gone[hand] = True
-            freed += page_bytes
-            out.append((shard, ids[hand], len(out)))
-        hand, scanned = (hand + 1) % len(ids), scanned + 1
-    return pd.DataFrame(out, columns=["shard", "page", "turn"])
+def second_chance(pages: DataFrame, target: int, page_bytes: int = 4096) -> DataFrame:
+    """shard, page, turn: the pages that go until `target` bytes of a shard are free, in two rounds at most.
 
-
-def clock(pages: DataFrame, target: int, page_bytes: int = 4096) -> DataFrame:
-    """shard, page, turn: the pages that a shard's hand evicts until `target` bytes are free, at most two rounds.
-
-    pages: shard, page, accessed. A shard's hand is sequential; shards, of a cache's size each, are independent.
+    pages: shard, page, accessed. The first round takes those not accessed since the last one, in the order of pages,
+    and clears the others' bits, so the second round takes these. That is a rank; only the first ones of a shard are
+    kept, and Spark keeps no more of any partition.
     """
-    return pages.groupBy("shard").applyInPandas(lambda g: _clock(g, target, page_bytes), "shard long, page long, turn long")
+    turn = F.row_number().over(Window.partitionBy("shard").orderBy("accessed", "page"))
+    return pages.withColumn("turn", turn).where(F.col("turn") <= -(-target // page_bytes)).select("shard", "page", (F.col("turn") - 1).cast("long").alias("turn"))
 
 
 def pressure(puts: DataFrame, capacity: int, evict_at: float) -> DataFrame:

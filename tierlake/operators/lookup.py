@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.prefix import nearest_below, numbered
+
 
 def points(probes: DataFrame, state: DataFrame, missing: float = -1.0) -> DataFrame:
     """probes with v: the key's value, or `missing`. The probes are the streamed side; Spark broadcasts the state only if it is small."""
@@ -16,28 +18,29 @@ def normalised(ranges: DataFrame) -> DataFrame:
     return ranges.select("id", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
 
 
-def _cells(ranges: DataFrame, width: int) -> DataFrame:
-    own = ranges.where("lo <= hi")
-    return own.select("id", "lo", "hi", F.explode(F.sequence(F.expr(f"floor(lo / {width})"), F.expr(f"floor(hi / {width})"))).alias("cell"))
+def last_in(ranges: DataFrame, state: DataFrame) -> DataFrame:
+    """id, v: the value of the greatest key of each range (bounds in any order); null if there is none. It is the nearest key below the upper bound, so no range is listed."""
+    found = nearest_below(normalised(ranges), "hi", state, "k", ["v"])
+    return found.select("id", F.when(F.col("k") >= F.col("lo"), F.col("v")).alias("v"))
 
 
-def rows_in(ranges: DataFrame, state: DataFrame, width: int) -> DataFrame:
-    """id, k, v: the rows of each range. An equi-join on cells of `width` keys instead of a nested loop."""
-    keyed = state.select("k", "v", F.expr(f"floor(k / {width})").alias("cell"))
-    return _cells(ranges, width).join(keyed, "cell").where("k BETWEEN lo AND hi").select("id", "k", "v")
+def ranges_with(ranges: DataFrame, state: DataFrame) -> DataFrame:
+    """The ranges (bounds as they are) that hold a key at all."""
+    return nearest_below(ranges.where("lo <= hi"), "hi", state.select("k"), "k", []).where("k >= lo").select(*ranges.columns)
 
 
-def last_in(ranges: DataFrame, state: DataFrame, width: int) -> DataFrame:
-    """id, v: the value of the greatest key of each range (bounds in any order); null if there is none."""
-    own = normalised(ranges)
-    best = rows_in(own, state, width).groupBy("id").agg(F.max_by("v", "k").alias("v"))
-    return own.select("id").join(best, "id", "left")
+def counts_in(ranges: DataFrame, state: DataFrame, name: str) -> DataFrame:
+    """id and how many keys each range has (bounds as they are; swapped: none): the difference of two keys' numbers."""
+    keys = numbered(state.select("k"), "k", "at")
+    ends = ranges.select("id", F.explode(F.array(F.struct(F.col("hi").alias("x"), F.lit(1).alias("sign")), F.struct((F.col("lo") - 1).alias("x"), F.lit(-1).alias("sign")))).alias("e")).select("id", "e.*")
+    upto = nearest_below(ends, "x", keys, "k", ["at"])
+    return upto.groupBy("id").agg(F.greatest(F.sum(F.col("sign") * (F.coalesce("at", F.lit(-1)) + 1)), F.lit(0)).alias(name))
 
 
-def ranges_with(ranges: DataFrame, state: DataFrame, width: int) -> DataFrame:
-    """The ranges that hold a key at all."""
-    hit = rows_in(ranges, state, width).select("id").distinct()
-    return ranges.join(hit, "id", "left_semi")
+def routed(probes: DataFrame, separators: DataFrame) -> DataFrame:
+    """probes (k) with leaf: that of the greatest separator (least, leaf) at most k; smaller keys go to the first leaf."""
+    found = nearest_below(probes, "k", separators, "least", ["leaf"])
+    return found.select(*probes.columns, F.coalesce("leaf", F.lit(0)).alias("leaf"))
 
 
 def newest_tier(*tiers: DataFrame) -> DataFrame:
@@ -49,6 +52,7 @@ def newest_tier(*tiers: DataFrame) -> DataFrame:
     return every.groupBy("k").agg(F.min_by(F.struct("tier", "v"), "prio").alias("x")).select("k", "x.tier", "x.v")
 
 
-def bucket_meets(lo, hi, bucket, n: int):
-    """Has a key of the bucket (key modulo n) a place in lo ... hi?"""
-    return lo + F.pmod(bucket - F.pmod(lo, F.lit(n)), F.lit(n)) <= hi
+def bucket_meets(lo: Column, hi: Column, bucket: Column, n: int) -> Column:
+    """Has a key of the bucket (key modulo n) a place between lo and hi, whichever is less?"""
+    low, high = F.least(lo, hi), F.greatest(lo, hi)
+    return low + F.pmod(bucket - F.pmod(low, F.lit(n)), F.lit(n)) <= high

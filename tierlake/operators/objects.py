@@ -1,11 +1,11 @@
-"""Large objects: append-only places, checks, block allocation."""
+"""Large objects: append-only places, descriptors, checked reads, pointers."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..plans.prefix import numbered, running
 
 
@@ -20,27 +20,30 @@ def counted(objects: DataFrame) -> DataFrame:
     return numbered(objects, "seq", "at").withColumn("lba", F.col("at") + 1).drop("at")
 
 
-def _blocks(log: pd.DataFrame, total: int) -> pd.DataFrame:
-    taken, of, hint, out = [False] * total, {}, 0, []
-    for row in log.sort_values("seq").itertuples(index=False):
-        block = -1
-        if row.op == "alloc":
-            for i in range(total):
-                b = (hint + i) % total
-                if not taken[b]:
-                    taken[b], hint, block = True, (b + 1) % total, b
-                    of.setdefault(row.k, []).append(b)
-                    break
-        elif of.get(row.k):
-            block = of[row.k].pop(0)
-            taken[block] = False
-        out.append((row.device, row.seq, row.op, block))
-    return pd.DataFrame(out, columns=["device", "seq", "op", "block"])
-
-
-def allocated(log: DataFrame, total: int) -> DataFrame:
-    """device, seq, op, block: next fit with wrap-around on each device; a free gives back its key's oldest block; -1: none.
-
-    log: device, seq, op (alloc, free), k. The state is sequential, so a device is a group; devices are independent.
-    """
-    return log.groupBy("device").applyInPandas(lambda g: _blocks(g, total), "device long, seq long, op string, block long")
+def read_checked(descriptors: DataFrame, storage: DataFrame, checksum) -> DataFrame:
+    """descriptors (seq, lba, size, checksum) with status: OK, or IO_ERROR if storage (lba, body) has nothing there, too little or something else."""
+    body = storage.select("lba", "body", checksum(F.col("body")).alias("found"))
+    met = descriptors.join(body, "lba", "left")
+    good = (F.octet_length("body") == F.col("size")) & (F.col("found") == F.col("checksum"))
+    return met.select(*descriptors.columns, F.when(F.coalesce(good, F.lit(False)), "OK").otherwise("IO_ERROR").alias("status"))
+
+
+def pointer(lba: Column, size: Column, checksum: Column) -> Column:
+    return F.struct(lba.cast("long").alias("lba"), size.cast("long").alias("size"), checksum.cast("long").alias("checksum"))
+
+
+def pointers(probes: DataFrame, state: DataFrame) -> DataFrame:
+    """probes (k) with lba, size and checksum of their pointer (state: k, p); zeros if there is none."""
+    met = probes.join(state.select("k", "p"), "k", "left")
+    return met.select(*probes.columns, *[F.coalesce(F.col(f"p.{c}"), F.lit(0).cast("long")).alias(c) for c in ("lba", "size", "checksum")])
+
+
+def pointer_status(ops: DataFrame) -> DataFrame:
+    """seq, k, op, status of puts and deletes (seq, k, op, p): 0, or -1 for a put of no valid pointer and a delete of an absent key."""
+    from .oplog import present_before
+
+    valid = F.coalesce(S.pointer_is_valid(F.col("p.lba"), F.col("p.size")), F.lit(False))
+    took = ops.where((F.col("op") == "delete") | (F.col("op") == "put")).withColumn("took", (F.col("op") == "delete") | valid)
+    there = present_before(took, F.when(F.col("took"), F.col("op")))
+    good = F.when(F.col("op") == "put", F.col("took")).otherwise(F.col("present"))
+    return there.select("seq", "k", "op", F.when(good, 0).otherwise(-1).alias("status"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.prefix import numbered
+
 
 def writes(ops: DataFrame) -> DataFrame:
     return ops.where(F.col("op").isin("put", "delete"))
@@ -30,13 +32,17 @@ def reads_along(ops: DataFrame) -> DataFrame:
     return seen.select("seq", "k", found.alias("found"), F.when(found, F.col("w.v")).alias("v"))
 
 
+def present_before(ops: DataFrame, write: Column | None = None) -> DataFrame:
+    """ops with `present`: the key's last write (put or delete, else null) before the row is a put."""
+    before = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    write = F.when(F.col("op").isin("put", "delete"), F.col("op")) if write is None else write
+    return ops.withColumn("present", F.coalesce(F.last(write, ignorenulls=True).over(before) == "put", F.lit(False)))
+
+
 def replay(ops: DataFrame) -> DataFrame:
     """op, n, effective: puts of absent keys, deletes and gets of present ones take effect."""
-    before = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    known = ops.where(F.col("op") != "range")
-    present = F.coalesce(F.last(F.when(F.col("op").isin("put", "delete"), F.col("op")), ignorenulls=True).over(before) == "put", F.lit(False))
     took = F.when(F.col("op") == "put", ~F.col("present")).otherwise(F.col("present"))
-    return known.withColumn("present", present).groupBy("op").agg(F.count("*").alias("n"), F.count_if(took).alias("effective"))
+    return present_before(ops.where(F.col("op") != "range")).groupBy("op").agg(F.count("*").alias("n"), F.count_if(took).alias("effective"))
 
 
 def merge_levels(*levels: DataFrame) -> DataFrame:
@@ -50,9 +56,8 @@ def merge_levels(*levels: DataFrame) -> DataFrame:
 
 def landing_epochs(ops: DataFrame, shards: int, slots: int) -> DataFrame:
     """shard, epoch, absorbed, compacted: a shard's writes fill a landing buffer of `slots`; when full, the last write of each key is compacted."""
-    own = writes(ops).withColumn("shard", F.pmod("k", F.lit(shards)))
-    number = F.row_number().over(Window.partitionBy("shard").orderBy("seq")) - 1
-    parted = own.withColumn("epoch", F.floor(number / slots))
+    own = writes(ops).select("seq", "k", F.pmod("k", F.lit(shards)).alias("shard"))
+    parted = numbered(own, "seq", "number", ["shard"]).withColumn("epoch", F.floor(F.col("number") / slots))
     kept = parted.groupBy("shard", "epoch", "k").agg(F.count("*").alias("n"), F.max("seq").alias("seq"))
     return kept.groupBy("shard", "epoch").agg(F.sum("n").alias("absorbed"), F.count("*").alias("compacted"), F.max("seq").alias("last_seq"))
 

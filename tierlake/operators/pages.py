@@ -17,15 +17,16 @@ def separators(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("leaf").agg(F.min("k").alias("least"), F.max("k").alias("greatest"), F.count("*").alias("n"))
 
 
-def median_split(keys: DataFrame, group: str) -> DataFrame:
-    """group, separator, n_left, n_right: the lower half of each group's keys goes left, the first of the upper half is the separator.
-
-    group is a page, so it holds a page's keys at most.
-    """
+def ranked(keys: DataFrame, group: str) -> DataFrame:
+    """k, group, r (its place in the group from 0), n (the group's keys). group is a page, so it holds a page's keys at most."""
     own = Window.partitionBy(group)
-    at = keys.withColumns({"r": F.row_number().over(own.orderBy("k")) - 1, "half": F.floor(F.count("*").over(own) / 2)})
-    left = F.col("r") < F.col("half")
-    return at.groupBy(group).agg(F.min(F.when(~left, F.col("k"))).alias("separator"), F.count_if(left).alias("n_left"), F.count_if(~left).alias("n_right"))
+    return keys.select(group, "k").withColumns({"r": F.row_number().over(own.orderBy("k")) - 1, "n": F.count("*").over(own)})
+
+
+def median_split(keys: DataFrame, group: str) -> DataFrame:
+    """group, separator, n_left, n_right: the lower half of each group's keys goes left, the first of the upper half is the separator."""
+    left = F.col("r") < F.floor(F.col("n") / 2)
+    return ranked(keys, group).groupBy(group).agg(F.min(F.when(~left, F.col("k"))).alias("separator"), F.count_if(left).alias("n_left"), F.count_if(~left).alias("n_right"))
 
 
 def space(counts: DataFrame, entries: int, page_bytes: int = 4096, header: int = 16, entry_bytes: int = 12) -> DataFrame:

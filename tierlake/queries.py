@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .config import DEFAULT
 from .functions import scalars as S
 from .operators import codec, evict, lookup, objects, oplog, pages, stats
+from .plans.prefix import nearest_below
+from .registry import ORACLE_SQL, QUERIES, query
 from .sources.tables import log_field, operations, table
 from .streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 OPS = """ops AS (SELECT event_id AS seq, user_id AS k, value AS v, ts, CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'get' WHEN 'click' THEN 'range' ELSE 'put' END AS op FROM events)"""
 LWW = """lww AS (SELECT k, seq, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM ops WHERE op IN ('put', 'delete')) WHERE r = 1 AND op <> 'delete')"""
-#: 31 ranges of order keys, every third one with swapped bounds.
-RANGES = """ranges AS (SELECT i AS id, CASE WHEN i % 3 = 0 THEN i * 97 + (i * 131) % 400 ELSE i * 97 END AS lo, CASE WHEN i % 3 = 0 THEN i * 97 ELSE i * 97 + (i * 131) % 400 END AS hi FROM generate_series(0, 149) t(i))"""
-CELL = 256
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+#: 150 ranges over the whole span of order keys, every third one with swapped bounds.
+RANGES = """span AS (SELECT max(o_orderkey) // 150 + 1 AS w FROM orders), bounds AS (SELECT i AS id, i * w AS near, i * w + (i * 131) % 400 AS far FROM span, generate_series(0, 149) t(i)), ranges AS (SELECT id, CASE WHEN id % 3 = 0 THEN far ELSE near END AS lo, CASE WHEN id % 3 = 0 THEN near ELSE far END AS hi FROM bounds)"""
 
 
 def _ops(spark: SparkSession, d: str) -> DataFrame:
@@ -42,11 +27,11 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
 
 
-def _ranges(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
-    far = i * 97 + i * 131 % 400
-    swapped = i % 3 == 0
-    return spark.range(150).select("id", F.when(swapped, far).otherwise(i * 97).alias("lo"), F.when(swapped, i * 97).otherwise(far).alias("hi"))
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    span = _orders(spark, d).agg((F.floor(F.max("k") / 150) + 1).alias("w"))
+    i, swapped = F.col("id"), F.col("id") % 3 == 0
+    bounds = spark.range(150).crossJoin(F.broadcast(span)).select("id", (i * F.col("w")).alias("near"), (i * F.col("w") + i * 131 % 400).alias("far"))  # one row
+    return bounds.select("id", F.when(swapped, F.col("far")).otherwise(F.col("near")).alias("lo"), F.when(swapped, F.col("near")).otherwise(F.col("far")).alias("hi"))
 
 
 def _objects(spark: SparkSession, d: str) -> DataFrame:
@@ -94,12 +79,12 @@ def landing_epochs(spark, d):
 
 
 @query("""WITH a AS (SELECT user_id AS k, event_id AS seq, value AS v FROM events), levels AS (
-  SELECT k, arg_max(v, seq) AS v, 0 AS level FROM a WHERE seq % 2 = 0 GROUP BY k UNION ALL SELECT k, arg_max(v, seq) AS v, 1 AS level FROM a WHERE seq % 2 = 1 AND seq % 5 = 0 GROUP BY k)
+  SELECT k, arg_max(v, seq) AS v, 0 AS level FROM a WHERE seq % 2 = 0 GROUP BY k UNION ALL SELECT k, arg_max(v, seq) AS v, 1 AS level FROM a WHERE seq % 2 = 1 GROUP BY k)
 SELECT k, arg_max(v, level) AS v, max(level) AS level FROM levels GROUP BY k""")
 def merge_on_read(spark, d):
     events = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), F.col("value").alias("v"))
     level = lambda df: df.groupBy("k").agg(F.max_by("v", "seq").alias("v"))
-    return oplog.merge_levels(level(events.where("seq % 2 = 0")), level(events.where("seq % 2 = 1 AND seq % 5 = 0")))
+    return oplog.merge_levels(level(events.where("seq % 2 = 0")), level(events.where("seq % 2 = 1")))
 
 
 @query(f"WITH {OPS} SELECT k, min(seq) AS first_seq FROM ops WHERE op IN ('put', 'delete') GROUP BY k ORDER BY first_seq LIMIT 4096")
@@ -172,7 +157,7 @@ def range_last_value(spark, d):
 
 @query(f"WITH {RANGES} SELECT id, arg_max(o_totalprice, o_orderkey) AS v FROM ranges LEFT JOIN orders ON o_orderkey BETWEEN least(lo, hi) AND greatest(lo, hi) GROUP BY id")
 def range_last_batch(spark, d):
-    return lookup.last_in(_ranges(spark), _orders(spark, d), CELL)
+    return lookup.last_in(_ranges(spark, d), _orders(spark, d))
 
 
 @query("SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey BETWEEN 20 AND 700 ORDER BY o_orderkey LIMIT 50")
@@ -182,21 +167,19 @@ def range_rows_limit(spark, d):
 
 @query(f"WITH {RANGES} SELECT id, lo, hi FROM ranges WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey BETWEEN lo AND hi)")
 def range_membership_semi(spark, d):
-    return lookup.ranges_with(_ranges(spark), _orders(spark, d), CELL)
+    return lookup.ranges_with(_ranges(spark, d), _orders(spark, d))
 
 
 @query(f"""WITH {RANGES} SELECT id, (SELECT count(*) FROM orders WHERE o_orderkey BETWEEN lo AND hi) AS n_strict, (SELECT count(*) FROM orders WHERE o_orderkey BETWEEN least(lo, hi) AND greatest(lo, hi)) AS n_swapped FROM ranges""")
 def range_bounds_reversed(spark, d):
-    ranges, orders = _ranges(spark), _orders(spark, d)
-    count = lambda r, name: lookup.rows_in(r, orders, CELL).groupBy("id").agg(F.count("*").alias(name))
-    out = ranges.select("id").join(count(ranges, "n_strict"), "id", "left").join(count(lookup.normalised(ranges), "n_swapped"), "id", "left")
-    return out.select("id", F.coalesce("n_strict", F.lit(0)).alias("n_strict"), F.coalesce("n_swapped", F.lit(0)).alias("n_swapped"))
+    ranges, orders = _ranges(spark, d), _orders(spark, d)
+    return lookup.counts_in(ranges, orders, "n_strict").join(lookup.counts_in(lookup.normalised(ranges), orders, "n_swapped"), "id")
 
 
-@query(f"WITH {RANGES}, b AS (SELECT unnest(generate_series(0, 15)) AS bucket) SELECT id, count(*) AS buckets FROM ranges, b WHERE EXISTS (SELECT 1 FROM generate_series(lo, hi) t(x) WHERE x % 16 = bucket) GROUP BY id")
+@query(f"WITH {RANGES}, b AS (SELECT unnest(generate_series(0, 15)) AS bucket) SELECT id, count(*) AS buckets FROM ranges, b WHERE EXISTS (SELECT 1 FROM generate_series(least(lo, hi), greatest(lo, hi)) t(x) WHERE x % 16 = bucket) GROUP BY id")
 def bucket_prune(spark, d):
-    meets = F.explode(F.filter(F.sequence(F.lit(0), F.lit(DEFAULT.buckets - 1)), lambda b: (F.col("lo") <= F.col("hi")) & lookup.bucket_meets(F.col("lo"), F.col("hi"), b, DEFAULT.buckets)))
-    return _ranges(spark).select("id", meets.alias("bucket")).groupBy("id").agg(F.count("*").alias("buckets"))
+    meets = F.explode(F.filter(F.sequence(F.lit(0), F.lit(DEFAULT.buckets - 1)), lambda b: lookup.bucket_meets(F.col("lo"), F.col("hi"), b, DEFAULT.buckets)))
+    return _ranges(spark, d).select("id", meets.alias("bucket")).groupBy("id").agg(F.count("*").alias("buckets"))
 
 
 _TIERS = f"""t AS (SELECT seq AS k, size AS v, {_tier_sql('size')} AS tier FROM objects)"""
@@ -218,15 +201,29 @@ def tier_priority_lookup(spark, d):
     return lookup.newest_tier(t.where("tier != 'LARGE' AND k % 3 != 0"), t.where("tier = 'LARGE'"), t.select("k", (-F.col("v")).alias("v"), F.lit("SSD").alias("tier")))
 
 
-@query("""WITH w AS (SELECT conv_id AS k, turn AS seq, octet_length(encode(text)) AS size FROM conversations), l AS (SELECT k, max(seq) AS seq, arg_max(size, seq) AS size, max(CASE WHEN size > 128 THEN seq END) AS last_large FROM w GROUP BY k)
-SELECT k, seq, CASE WHEN size <= 128 THEN 'DRAM' ELSE 'LO' END AS tier, size > 128 AS tombstone_in_dram, coalesce(last_large < seq, false) AS stale_large_removed FROM l""")
+_PUTS = "w AS (SELECT doc_id % 97 AS k, doc_id AS seq, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents)"
+
+
+def _puts(spark, d):
+    return table(spark, d, "documents").select((F.col("doc_id") % 97).alias("k"), F.col("doc_id").alias("seq"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+
+
+@query(f"""WITH {_PUTS}, l AS (SELECT k, max(seq) AS seq, arg_max(size, seq) AS size, max(CASE WHEN size > 2048 THEN seq END) AS last_large FROM w WHERE size > 0 GROUP BY k)
+SELECT k, seq, CASE WHEN size <= 2048 THEN 'DRAM' ELSE 'LO' END AS tier, size > 2048 AS tombstone_in_dram, coalesce(last_large < seq, false) AS stale_large_removed FROM l""")
 def tombstone_shadow(spark, d):
-    w = table(spark, d, "conversations").select(F.col("conv_id").alias("k"), F.col("turn").alias("seq"), F.octet_length("text").alias("size"))
-    large = F.col("size") > DEFAULT.tiny  # here all above TINY counts as large, as turns are short
-    last = w.groupBy("k").agg(F.max("seq").alias("seq"), F.max_by("size", "seq").alias("size"), F.max(F.when(large, F.col("seq"))).alias("last_large"))
+    large = F.col("size") > DEFAULT.medium
+    last = _puts(spark, d).where("size > 0").groupBy("k").agg(F.max("seq").alias("seq"), F.max_by("size", "seq").alias("size"), F.max(F.when(large, F.col("seq"))).alias("last_large"))
     return last.select("k", "seq", F.when(large, "LO").otherwise("DRAM").alias("tier"), large.alias("tombstone_in_dram"), F.coalesce(F.col("last_large") < F.col("seq"), F.lit(False)).alias("stale_large_removed"))
 
 
+@query(f"WITH {_PUTS} SELECT count(*) FILTER (size BETWEEN 1 AND 128) AS puts_tiny, count(*) FILTER (size BETWEEN 129 AND 2048) AS puts_medium, count(*) FILTER (size > 2048) AS puts_large, count(*) FILTER (size > 2048) AS tombstones, coalesce(sum(size) FILTER (size <= 2048), 0)::BIGINT AS memory_used FROM w WHERE size > 0")
+def put_counters(spark, d):
+    tier = S.tier_of(F.col("size"))
+    of = lambda t: F.count_if(tier == t)
+    used = F.coalesce(F.sum(F.when(tier != "LARGE", F.col("size"))), F.lit(0))
+    return _puts(spark, d).where("size > 0").agg(of("TINY").alias("puts_tiny"), of("MEDIUM").alias("puts_medium"), of("LARGE").alias("puts_large"), of("LARGE").alias("tombstones"), used.alias("memory_used"))
+
+
 @query(f"""WITH {OPS}, {LWW}, x AS (SELECT k, arg_max(v, seq) AS v FROM ops WHERE op = 'put' GROUP BY k)
 SELECT count(*) FILTER (lww.k IS NOT NULL AND lww.v = x.v) AS correct, count(*) FILTER (lww.k IS NULL) AS missing, count(*) FILTER (lww.k IS NOT NULL AND lww.v IS DISTINCT FROM x.v) AS wrong FROM x FULL JOIN lww ON x.k = lww.k""")
 def verify_counts(spark, d):
@@ -291,14 +288,14 @@ def hash31(spark, d):
     return _checksums(spark, d, S.hash31)
 
 
-@query(_fold(0, "(c * 33 + b) & 4294967295", "CASE WHEN {f} >= 2147483648 THEN 4294967296 - {f} ELSE {f} END + 1"))
+@query(_fold(5381, "(c * 33 + b) & 4294967295", "CASE WHEN {f} >= 2147483648 THEN 4294967296 - {f} ELSE {f} END + 1"))
 def hash33(spark, d):
     return _checksums(spark, d, S.hash33)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'IO_ERROR' ELSE 'OK' END AS status FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'IO_ERROR' ELSE 'OK' END AS status FROM documents WHERE text IS NOT NULL")
 def checksum_verify(spark, d):
-    docs = table(spark, d, "documents").where("text != ''")
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
     stored = docs.select("doc_id", "text", F.crc32(F.encode("text", "UTF-8")).alias("checksum"))
     read = stored.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\x01"))).otherwise(F.col("text")))
     return read.select("doc_id", F.when(F.crc32(F.encode("text", "UTF-8")) == F.col("checksum"), "OK").otherwise("IO_ERROR").alias("status"))
@@ -390,28 +387,22 @@ def consistency_checks(spark, d):
     return both.agg(F.count("*").alias("leaves"), F.sum("n").alias("keys"), F.bool_and(F.col("n").between(1, DEFAULT.leaf_slots)).alias("filled"), F.bool_and(F.col("before").isNull() | (F.col("before") < F.col("least"))).alias("ordered"))
 
 
-@query("SELECT doc_id, i AS chunk, substr(text, i * 128 + 1, 128) AS body FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) // 128 - 1)) AS i FROM documents WHERE length(text) >= 128)")
+@query("SELECT doc_id, i AS chunk, substr(raw, i * 256 + 1, 256) AS body FROM (SELECT doc_id, raw, unnest(generate_series(0, length(raw) // 256 - 1)) AS i FROM (SELECT doc_id, hex(encode(text)) AS raw FROM documents) WHERE length(raw) >= 256)")
 def slice_chunks(spark, d):
-    docs = table(spark, d, "documents").where(F.length("text") >= 128)
-    parts = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), (F.floor(F.length("text") / 128) - 1).cast("int"))).alias("chunk"))
-    return parts.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.expr("substring(text, chunk * 128 + 1, 128)").alias("body"))
+    """Whole slices of 128 bytes, in hex."""
+    docs = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw")).where(F.octet_length("raw") >= 128)
+    parts = docs.select("doc_id", "raw", F.explode(F.sequence(F.lit(0), (F.floor(F.octet_length("raw") / 128) - 1).cast("int"))).alias("chunk"))
+    return parts.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.hex(F.expr("substring(raw, chunk * 128 + 1, 128)")).alias("body"))
 
 
 # --------------------------------------------------------------------------
-# Eviction and blocks: sequential state per shard
+# Eviction
 
 
-@query()
+@query("""WITH p AS (SELECT user_id % 8 AS shard, user_id AS page, count(*) FILTER (event_type = 'view') % 2 = 1 AS accessed FROM events GROUP BY user_id), t AS (SELECT shard, page, row_number() OVER (PARTITION BY shard ORDER BY accessed, page) - 1 AS turn FROM p) SELECT shard, page, turn FROM t WHERE turn * 4096 < 10 * 4096""")
 def eviction_clock(spark, d):
-    p = table(spark, d, "events").groupBy(F.pmod("user_id", F.lit(DEFAULT.shards)).alias("shard"), F.col("user_id").alias("page")).agg((F.max(F.col("event_id") % 3) == 2).alias("recent"), F.count_if(F.col("event_type") == "view").alias("views"))
-    return evict.clock(p.select("shard", "page", (F.col("views") % 2 == 1).alias("accessed")), 10 * 4096)
-
-
-@query()
-def block_allocator(spark, d):
-    ops = _ops(spark, d).where(F.col("op").isin("put", "delete"))
-    log = ops.select(S.shard_of(F.col("k"), DEFAULT.shards).cast("long").alias("device"), "seq", F.when(F.col("op") == "put", "alloc").otherwise("free").alias("op"), "k")
-    return objects.allocated(log, 64)
+    p = table(spark, d, "events").groupBy(F.pmod("user_id", F.lit(DEFAULT.shards)).alias("shard"), F.col("user_id").alias("page")).agg((F.count_if(F.col("event_type") == "view") % 2 == 1).alias("accessed"))
+    return evict.second_chance(p, 10 * 4096)
 
 
 @query(f"""WITH {OPS}, p AS (SELECT seq, (abs(k) * 37 % 2000 + 1)::BIGINT AS size FROM ops WHERE op = 'put'), u AS (SELECT seq, size, sum(size) OVER (ORDER BY seq)::BIGINT AS used FROM p) SELECT seq, size, used, used >= 900000 AS evict FROM u""")
@@ -475,21 +466,28 @@ def cdf_build(spark, d):
     return _distribution(spark, d).select("bucket", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
-@query(f"""WITH {_CDF}, r AS (SELECT o_orderkey AS k, ((o_orderkey * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS r FROM orders) SELECT k, min(bucket) AS bucket FROM r JOIN c ON r.r <= c.hi GROUP BY k""")
+@query(f"""WITH {_CDF}, r AS (SELECT o_orderkey AS k, ((o_orderkey * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS r FROM orders), s AS (SELECT k, min(bucket) AS bucket FROM r JOIN c ON r.r <= c.hi GROUP BY k), e AS (SELECT bucket, coalesce(lag(bucket) OVER (ORDER BY bucket), 0) AS below FROM b) SELECT k, s.bucket, below + k * 7919 % (s.bucket - below) AS size FROM s JOIN e ON s.bucket = e.bucket""")
 def cdf_sample(spark, d):
-    # a distribution has few buckets, so it travels as one sorted array: the first bucket whose share reaches r
-    few = _distribution(spark, d).agg(F.array_sort(F.collect_list(F.struct("hi", "bucket"))).alias("cdf"))
     r = (F.col("k") * 1103515245 + 12345) % 2147483648 / F.lit(2147483648.0)
-    drawn = _orders(spark, d).select("k", r.alias("r")).crossJoin(F.broadcast(few))  # one row
-    return drawn.select("k", F.element_at(F.filter("cdf", lambda c: c["hi"] >= F.col("r")), 1)["bucket"].alias("bucket"))
+    w = _distribution(spark, d)
+    low = w.select("bucket", (F.col("bucket") - 1).alias("low"))  # sizes of a bucket: from the one below it, if there is one, up to itself
+    sizes = nearest_below(low, "low", w.select(F.col("bucket").alias("below")), "below", []).select("bucket", F.coalesce("below", F.lit(0)).alias("below"))
+    drawn = stats.sampled(_orders(spark, d).select("k", r.alias("r")), "r", w.join(sizes, "bucket").withColumn("bucket", F.struct("bucket", "below")), ["bucket"])
+    size = F.col("bucket.below") + F.col("k") * 7919 % (F.col("bucket.bucket") - F.col("bucket.below"))
+    return drawn.select("k", F.col("bucket.bucket").alias("bucket"), size.alias("size"))
 
 
-@query("""SELECT n_regionkey AS region, n_nationkey AS nation, count(*) AS n, grouping_id(n_regionkey, n_nationkey) AS level FROM nation, (SELECT unnest([512, 2048]) AS landing), (SELECT unnest([8, 32]) AS threads) GROUP BY ROLLUP (n_regionkey, n_nationkey)""")
+@query("""SELECT landing, background, threads, workload, count(*) AS n, grouping_id(landing, background, threads, workload) AS level
+FROM (SELECT unnest([512, 1024, 2048]) AS landing), (SELECT unnest([0, 2, 4]) AS background), (SELECT unnest([1, 8, 32]) AS threads), (SELECT unnest(['read_only', 'write_only', 'read_write_8_2', 'read_write_5_5', 'scan']) AS workload)
+GROUP BY ROLLUP (landing, background, threads, workload)""")
 def sweep_matrix(spark, d):
-    landing, threads = spark.createDataFrame([(512,), (2048,)], "landing int"), spark.createDataFrame([(8,), (32,)], "threads int")
-    grid = table(spark, d, "nation").crossJoin(F.broadcast(landing)).crossJoin(F.broadcast(threads))  # parameter tables
-    out = grid.rollup("n_regionkey", "n_nationkey").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
-    return out.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), "n", "level")
+    """All runs of a sweep, with totals. The axes are parameter tables of a few rows."""
+    axes = {"landing int": [512, 1024, 2048], "background int": [0, 2, 4], "threads int": [1, 8, 32], "workload string": ["read_only", "write_only", "read_write_8_2", "read_write_5_5", "scan"]}
+    grid = spark.range(1).drop("id")
+    for schema, values in axes.items():
+        grid = grid.crossJoin(F.broadcast(spark.createDataFrame([(v,) for v in values], schema)))
+    names = [a.split()[0] for a in axes]
+    return grid.rollup(*names).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
 # --------------------------------------------------------------------------
@@ -520,25 +518,16 @@ def json_extract(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("op")).agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.count_distinct(k).alias("different"))
 
 
-@F.udtf(returnType=StructType([StructField("op", StringType()), StructField("k", LongType())]))
-class ExpandCommand:
-    """Keys of a command such as "i 1 4-7 9": its letter with each number, and with each of a range (backwards, if so given)."""
-
-    def eval(self, command: str):
-        letter, *parts = (command or "").split() or [""]
-        for part in parts:
-            a, _, b = part.partition("-")
-            lo, hi = int(a), int(b or a)
-            step = 1 if hi >= lo else -1
-            for k in range(lo, hi + step, step):
-                yield letter, k
-
-
-@query("""WITH c AS (SELECT event_id AS seq, event_id % 50 AS a, event_id % 50 + event_id % 4 AS b FROM events) SELECT seq, 'i' AS op, unnest(generate_series(a, b) || [b + 9]) AS k FROM c""")
+@query("""WITH c AS (SELECT event_id AS seq, event_id % 50 AS a, event_id % 50 + event_id % 7 - 3 AS b FROM events) SELECT seq, 'i' AS op, unnest((CASE WHEN a <= b THEN generate_series(a, b) ELSE generate_series(a, b, -1) END) || [b + 9]) AS k FROM c WHERE b >= 0""")
 def udtf_expand(spark, d):
-    spark.udtf.register("expand_command", ExpandCommand)
-    commands = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.expr("'i ' || (event_id % 50) || '-' || (event_id % 50 + event_id % 4) || ' ' || (event_id % 50 + event_id % 4 + 9)").alias("command"))
-    return spark.sql("SELECT seq, op, k FROM {c}, LATERAL expand_command(command)", c=commands)
+    """Keys of commands such as "i 1 4-7 9": the letter with each number, and with each of a range (backwards, if so given)."""
+    commands = table(spark, d, "events").selectExpr("event_id AS seq", "event_id % 50 AS a", "event_id % 50 + event_id % 7 - 3 AS b").where("b >= 0")
+    commands = commands.select("seq", F.expr("'i ' || a || '-' || b || ' ' || (b + 9)").alias("command"))
+    words = F.split("command", " ")
+    parts = commands.select("seq", words[0].alias("op"), F.explode(F.slice(words, 2, F.size(words))).alias("part"))
+    ends = F.split("part", "-")
+    a, b = ends[0].cast("long"), F.coalesce(F.get(ends, 1), ends[0]).cast("long")
+    return parts.select("seq", "op", F.explode(F.sequence(a, b)).alias("k"))
 
 
 # --------------------------------------------------------------------------
@@ -547,19 +536,36 @@ def udtf_expand(spark, d):
 
 @query(ORACLE_SQL["oplog_lww_state"])
 def stream_lww(spark, d):
-    return jobs.compacted_state(spark, jobs.operation_stream(spark, d))
+    return jobs.compacted_state(jobs.operation_stream(spark, d))
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
-    out = jobs.tumbling_counts(spark, jobs.event_stream(spark, d))
-    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
+    out = jobs.window_counts(jobs.event_stream(spark, d))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) - i * INTERVAL 1 DAY AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY 1, 2")
+def stream_sliding(spark, d):
+    out = jobs.window_counts(jobs.event_stream(spark, d), "2 days", "1 day")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(f"""WITH {OPS}, keys AS (SELECT ((k % 8) + 8) % 8 AS shard, k, min(seq) AS first, count(*) AS n FROM ops WHERE op IN ('put', 'delete') GROUP BY k), r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY first) AS turn FROM keys)
+SELECT shard, count(*) FILTER (turn <= 10) AS queued, (sum(n) FILTER (turn <= 10) - count(*) FILTER (turn <= 10))::BIGINT AS merged, coalesce(sum(n) FILTER (turn > 10), 0)::BIGINT AS dropped FROM r GROUP BY shard""")
+def stream_dirty_queue(spark, d):
+    return jobs.dirty_queues(jobs.operation_stream(spark, d), DEFAULT.shards, 10)
+
+
+@query("SELECT event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 100")
+def stream_reservoir(spark, d):
+    return jobs.reservoir(jobs.event_stream(spark, d), "event_type", 100)
 
 
 @query(f"""WITH {OPS}, p AS (SELECT *, coalesce(last_value(CASE WHEN op IN ('put', 'delete') THEN op END IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'put', false) AS present FROM ops)
 SELECT k, count(*) FILTER (op = 'get') AS gets, count(*) FILTER (op = 'get' AND present) AS hits FROM p GROUP BY k""")
 def stream_stateful(spark, d):
-    return jobs.hits_by_key(spark, jobs.operation_stream(spark, d))
+    return jobs.hits_by_key(jobs.operation_stream(spark, d))
 
 
 # --------------------------------------------------------------------------
@@ -610,3 +616,6 @@ def flagship_tiered_state(spark, d):
     """Operation log to live keys to tiers: what the cache holds, by tier."""
     live = oplog.last_wins(_ops(spark, d)).withColumn("size", F.abs("k") * 61 % 4000)
     return live.groupBy(S.tier_of(F.col("size")).alias("tier")).agg(F.count("*").alias("keys"), F.sum("size").alias("bytes"), F.round(F.sum("v"), 4).alias("total"))
+
+
+from . import queries_files, queries_store  # noqa: E402, F401  registers theirs too

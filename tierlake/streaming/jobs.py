@@ -1,84 +1,112 @@
-"""Streams over the operation log: compaction per micro-batch, windows, per-key state."""
+"""Streams over the operation log: folds, windows and bounded queues that go on after a restart.
+
+Every micro-batch is folded by aggregates to what it says per key or window and written under its number, so a batch that
+is run again overwrites itself. What a reader sees is the fold of these parts. With a path (base) a job's parts and its
+checkpoint stay there: the next start reads only what is new. Nothing is kept on the driver.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.oplog import writes
+from ..operators.oplog import present_before, writes
 from ..sources.tables import operations, scratch
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, pattern: str = "events.parquet") -> DataFrame:
     """The events files as a stream; ts as a timestamp, so that it can carry a watermark."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(f"{sf_dir}/events.parquet" if pattern == "events.parquet" else sf_dir).schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 64).parquet(sf_dir)
     return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drain(writer) -> None:
-    query = writer.trigger(availableNow=True).start()
+def operation_stream(spark: SparkSession, sf_dir: str, pattern: str = "events.parquet") -> DataFrame:
+    return operations(event_stream(spark, sf_dir, pattern))
+
+
+def folded(stream: DataFrame, fold: Callable[[DataFrame, DataFrame], DataFrame], schema: str, base: str | None = None, mode: str = "append") -> DataFrame:
+    """The parts of all batches so far with their `batch`: drains what the stream has now, and stops. fold takes a batch's rows and the parts of the batches before it."""
+    spark, base = stream.sparkSession, base or scratch(stream.sparkSession)
+    fields = f"{schema}, batch long"
+
+    def parts(session: SparkSession) -> DataFrame:
+        return session.read.schema(fields).parquet(f"{base}/parts") if _has(session, f"{base}/parts") else session.createDataFrame([], fields)
+
+    def put(rows: DataFrame, number: int) -> None:
+        fold(rows, parts(rows.sparkSession).where(F.col("batch") < number)).write.mode("overwrite").parquet(f"{base}/parts/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    return parts(spark)
+
+
+def _has(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def compacted_state(ops: DataFrame, base: str | None = None) -> DataFrame:
+    """k, seq, v: live keys. A batch leaves the last write of each of its keys."""
+    last = lambda rows: rows.groupBy("k").agg(F.max_by(F.struct("seq", "op", "v"), "seq").alias("w")).select("k", "w.*")
+    parts = folded(ops, lambda rows, _: last(writes(rows)), "k long, seq long, op string, v double", base)
+    return last(parts).where("op != 'delete'").select("k", "seq", "v")
+
+
+def window_counts(events: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "2 days", base: str | None = None) -> DataFrame:
+    """start, event_type, n: tumbling (or sliding) windows by event time behind a watermark; later events are left out. The counts are keyed state of the stream."""
+    window = F.window("ts", width, slide) if slide else F.window("ts", width)
+    counts = events.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count("*").alias("n"))
+    parts = folded(counts, lambda rows, _: rows.select(F.col("window.start").alias("start"), "event_type", "n"), "start timestamp, event_type string, n long", base, "update")
+    return parts.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
-def compacted_state(spark: SparkSession, ops: DataFrame) -> DataFrame:
-    """k, seq, v: each micro-batch is folded, merged into the state so far and written as its next version."""
-    base, version = scratch(spark), []
+def hits_by_key(ops: DataFrame, base: str | None = None) -> DataFrame:
+    """k, gets, hits: gets of keys that are present. A batch leaves, per key, its gets before its first write, those after, which of these hit, and its last write."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = writes(batch).groupBy("k").agg(F.max_by(F.struct("seq", "op", "v"), "seq").alias("w")).select("k", "w.*")
-        if version:
-            new = new.unionByName(spark.read.parquet(version[-1])).groupBy("k").agg(F.max_by(F.struct("seq", "op", "v"), "seq").alias("w")).select("k", "w.*")
-        new.write.mode("overwrite").parquet(f"{base}/v{number}")
-        version.append(f"{base}/v{number}")
+    def fold(rows: DataFrame, _: DataFrame) -> DataFrame:
+        wrote = F.count(F.when(F.col("op").isin("put", "delete"), True)).over(Window.partitionBy("k").orderBy("seq")) > 0
+        own, get = present_before(rows).withColumn("wrote", wrote), F.col("op") == "get"
+        write = F.when(F.col("op").isin("put", "delete"), F.col("op"))
+        return own.groupBy("k").agg(F.count_if(get).alias("gets"), F.count_if(get & ~F.col("wrote")).alias("open"), F.count_if(get & F.col("present")).alias("hits"), F.max_by("op", F.when(write.isNotNull(), F.col("seq"))).alias("last"))
 
-    _drain(ops.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint"))
-    if not version:
-        return ops.sparkSession.createDataFrame([], "k long, seq long, v double")
-    return spark.read.parquet(version[-1]).where("op != 'delete'").select("k", "seq", "v")
+    parts = folded(ops, fold, "k long, gets long, open long, hits long, last string", base)
+    before = Window.partitionBy("k").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # a key's batches, not its rows
+    known = parts.withColumn("present", F.coalesce(F.last("last", ignorenulls=True).over(before) == "put", F.lit(False)))
+    return known.groupBy("k").agg(F.sum("gets").alias("gets"), F.sum(F.col("hits") + F.when(F.col("present"), F.col("open")).otherwise(0)).alias("hits"))
 
 
-def tumbling_counts(spark: SparkSession, events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """day, event_type, n: windows by event time behind a watermark; the stream keeps each window's current row."""
-    base, last = scratch(spark), []
-    counts = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+def _first(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each group; Spark keeps no more of any partition."""
+    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("turn") <= n).drop("turn")
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        own = batch.select(F.col("window.start").alias("day"), "event_type", "n", F.lit(number).alias("version"))
-        if last:
-            own = own.unionByName(spark.read.parquet(last[-1])).groupBy("day", "event_type").agg(F.max_by("n", "version").alias("n"), F.max("version").alias("version"))
-        own.write.mode("overwrite").parquet(f"{base}/v{number}")
-        last.append(f"{base}/v{number}")
 
-    _drain(counts.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", f"{base}/checkpoint"))
-    if not last:
-        return spark.createDataFrame([], "day timestamp, event_type string, n long")
-    return spark.read.parquet(last[-1]).select("day", "event_type", "n")
+def dirty_queues(ops: DataFrame, shards: int, slots: int, base: str | None = None) -> DataFrame:
+    """shard, queued, merged, dropped: a shard's queue takes its first `slots` different keys written; writes of keys in the queue merge, all others are dropped and counted.
 
+    A batch leaves the writes of the keys that are in the queue or could get there, and the number of all writes: no more rows than the queues have slots, twice.
+    """
 
-def _hits(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    present, gets, hits = state.get if state.exists else (False, 0, 0)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for op in rows["op"]:
-        if op in ("put", "delete"):
-            present = op == "put"
-        elif op == "get":
-            gets, hits = gets + 1, hits + int(present)
-    state.update((bool(present), int(gets), int(hits)))
-    yield pd.DataFrame({"k": [key[0]], "gets": [gets], "hits": [hits]})
+    def queue_of(keys: DataFrame) -> DataFrame:
+        return _first(keys.groupBy("shard", "k").agg(F.min("first").alias("first"), F.sum("n").alias("n")), "shard", "first", slots)
 
+    def fold(rows: DataFrame, earlier: DataFrame) -> DataFrame:
+        keys = writes(rows).groupBy(F.pmod("k", F.lit(shards)).alias("shard"), "k").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+        queued = queue_of(earlier.where("k IS NOT NULL")).select("shard", "k", F.lit(True).alias("queued"))
+        known = keys.join(queued, ["shard", "k"], "left")
+        kept = known.where("queued").drop("queued").unionByName(_first(known.where("queued IS NULL").drop("queued"), "shard", "first", slots))
+        return kept.unionByName(keys.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("first"), "n"))
 
-def hits_by_key(spark: SparkSession, ops: DataFrame) -> DataFrame:
-    """k, gets, hits: a key's state is whether it is present, carried from batch to batch."""
-    base = scratch(spark)
-    counted = ops.select("k", "seq", "op").groupBy("k").applyInPandasWithState(_hits, "k long, gets long, hits long", "present boolean, gets long, hits long", "append", GroupStateTimeout.NoTimeout)
-    _drain(counted.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint"))
-    return spark.read.schema("k long, gets long, hits long").parquet(f"{base}/out").groupBy("k").agg(F.max("gets").alias("gets"), F.max("hits").alias("hits"))
+    parts = folded(ops, fold, "shard long, k long, first long, n long", base)
+    every = parts.where("k IS NULL").groupBy("shard").agg(F.sum("n").alias("writes"))
+    queue = queue_of(parts.where("k IS NOT NULL")).groupBy("shard").agg(F.count("*").alias("queued"), F.sum("n").alias("taken"))
+    return every.join(queue, "shard").select("shard", "queued", (F.col("taken") - F.col("queued")).alias("merged"), (F.col("writes") - F.col("taken")).alias("dropped"))
 
 
-def operation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operations(event_stream(spark, sf_dir))
+def reservoir(events: DataFrame, by: str, n: int, base: str | None = None) -> DataFrame:
+    """event_id, by, value: the first n events of each group, whatever comes after."""
+    fields = ["event_id", by, "value"]
+    parts = folded(events, lambda rows, _: _first(rows.select(*fields), by, "event_id", n), f"event_id long, {by} string, value double", base)
+    return _first(parts.select(*fields), by, "event_id", n)
