@@ -437,6 +437,22 @@ def test_short_pairs_are_met_across_classes(spark):
     assert len(want) == 300
 
 
+def test_all_similar_documents_share_a_class(spark):
+    """Of the given documents: every pair with a probability Jaccard similarity of 0.8 or more, found by comparing all pairs that share a shingle."""
+    base = "/root/testdata/sf0.001/documents.parquet"
+    rows = duckdb.connect().sql(f"SELECT doc_id, text FROM '{base}' WHERE text IS NOT NULL").fetchall()
+    sets = {i: Counter(tuple(w[a : a + 5]) for a in range(len(w) - 4)) for i, t in rows for w in [WORD.findall(t)]}
+    holders = {}
+    for i, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    pairs = {p for h in holders.values() for p in itertools.combinations(sorted(h), 2)}
+    similar = [(a, b) for a, b in pairs if sum((sets[a] & sets[b]).values()) * 5 >= 2 * max(sum(sets[a].values()), sum(sets[b].values())) and probability_jaccard(sets[a], sets[b]) >= 0.8]
+    found = {r.doc_id: r.class_id for r in op6.near_duplicates(spark.read.parquet(base)).collect()}
+    assert similar
+    assert np.mean([found[a] == found[b] for a, b in similar]) >= 0.99
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
@@ -479,6 +495,58 @@ def test_items_of_frequent_words_are_found(spark):
     assert want.keys() >= set(range(200, 236))
 
 
+def test_copies_with_every_third_word_replaced_are_found(spark):
+    """All documents that an alignment of every document with every item finds are found, with words replaced, dropped and put in at many places."""
+    rng = random.Random(21)
+    items = [(i, sentence(rng, 27).split()) for i in range(8)]
+    texts = [sentence(rng, 50).split() for _ in range(30)]
+    for i, w in items:
+        for at in range(3):
+            texts.append(sentence(rng, 20).split() + [x if k % 3 != at else f"new{k}" for k, x in enumerate(w)] + sentence(rng, 20).split())
+        for share in (0.1, 0.2, 0.25, 0.3, 0.34):
+            out = []
+            for k, x in enumerate(w):
+                turn = rng.random()
+                if turn >= share:
+                    out.append(x)
+                elif turn < share / 3:
+                    out.append(f"other{k}")
+                elif turn < share * 2 / 3:
+                    out += [x, f"more{k}"]
+            texts.append(sentence(rng, 20).split() + out + sentence(rng, 20).split())
+    codes = {w: k for k, w in enumerate({w for t in [*texts, *(w for _, w in items)] for w in t})}
+    coded = [np.array([codes[w] for w in t]) for t in texts]
+    want = {(d, i): s for i, w in items for d, t in enumerate(coded) if (s := op7.align(np.array([codes[x] for x in w]), t) / (2 * len(w))) >= 0.5}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in op7.find_leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    assert got == want
+    assert len(want) > 45
+
+
+def test_alignment_is_the_best_local_one():
+    """Against the plain table of scores."""
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = [[rng.randrange(4) for _ in range(rng.randrange(1, 12))] for _ in range(2)]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            table[i][j] = max(0, table[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
+        assert op7.align(np.array(a), np.array(b)) == max(map(max, table))
+
+
+def test_clashing_columns_keep_their_values(docs, spark):
+    """Stages give back the caller's columns, whatever their names."""
+    names = ["k", "h", "__k", "__h", "__c", "__near", "__removed", "__lines", "c", "near", "removed", "lines", "_k"]
+    wide = docs.drop("k", "h", "__k").select("*", *[op6.F.concat(op6.F.lit(n), op6.F.coalesce(op6.F.col("doc_id").cast("string"), op6.F.lit("-"))).alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "nothing of this is in there at all")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")
+    for out in (op6.keep_one(wide), op10.dedup(wide), op7.drop_leaks(wide, bench), op9.filter_documents(wide, labels)):
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows
+        assert all(r[n] == f"{n}{'-' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+
+
 def test_alignment():
     a, b = np.array([1, 2, 3, 4]), np.array([9, 1, 2, 8, 3, 4, 9])
     assert op7.align(a, b) == 7  # four matches, one gap

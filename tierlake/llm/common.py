@@ -13,11 +13,12 @@ the bytes or words themselves.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,12 @@ def scratch(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to a shared table and read it back: later steps and lost executors start from the files."""
+#: Tables that the steps now running have written, the innermost step's last.
+_STEPS: list[list[str]] = []
+
+
+def settle(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df to a shared table and read it back: later steps and lost executors start from the files. Within cleanup() it goes with its step; keep: with the step around that."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
@@ -60,6 +65,8 @@ def settle(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
+    if len(_STEPS) > keep:
+        _STEPS[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,21 +75,15 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-class Tables:
-    """settle() for tables that are dropped together when no one reads them any more: disk follows a step, not the whole job."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def settle(self, df: DataFrame) -> DataFrame:
-        out = settle(df)
-        self.paths += {f.rsplit("/", 1)[0] for f in out.inputFiles()}
-        return out
-
-    def drop(self) -> None:
-        for path in self.paths:
-            delete(self.spark, path)
-        self.paths = []
+@contextlib.contextmanager
+def cleanup(spark: SparkSession) -> Iterator[None]:
+    """Drops at its end what was settled within and not kept: disk follows a step, not the whole job."""
+    _STEPS.append([])
+    try:
+        yield
+    finally:
+        for path in _STEPS.pop():
+            delete(spark, path)
 
 
 #: Keys from here up to NULL_ID + 2^32 - 1 stand for null doc_ids; they count as the smallest.
@@ -250,18 +251,23 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byte
     return out.tobytes(), at
 
 
-def grams(symbols: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hashes of all runs of k symbols (64-bit, as word_hashes gives them)."""
-    n = len(symbols) - k + 1
+def grams_at(symbols: np.ndarray, places: Sequence[int], seed: int = 0) -> np.ndarray:
+    """Hashes of the symbols (64-bit, as word_hashes gives them) at these places, from every start on."""
+    n = len(symbols) - places[-1]
     if n <= 0:
         return np.zeros(0, U64)
     h = symbols[:n] ^ U64(_odd(seed))
-    for j in range(1, k):
+    for j in places[1:]:
         h ^= h >> U64(32)
         h = h * _STEP + symbols[j : j + n]
     return mix(h)
 
 
+def grams(symbols: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of k symbols."""
+    return grams_at(symbols, range(k), seed)
+
+
 def byte_grams(data: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hashes of all runs of k bytes, 8 or more: they are read as eights, the last of them ending the run."""
     n = len(data) - k + 1

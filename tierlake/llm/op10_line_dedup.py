@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_of, keyed, once, real_id, settle, table, unused
+from .common import cleanup, key_of, keyed, once, real_id, settle, table, unused
 
 MIN_WORDS = 5
 PLACE = "struct(k, h, no)"
@@ -96,14 +96,15 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 def removed_lines(own: DataFrame) -> DataFrame:
     """k, h, removed (array of line numbers): the documents that lose lines."""
-    lines = lines_of(own)
-    distinct = lines.groupBy("l1", "l2").agg(F.count("*").alias("c"), F.min(F.expr(PLACE)).alias("first"), F.first("line").alias("line"))
-    distinct = settle(distinct.select("l1", "l2", "c", "first.k", "first.h", "first.no", "line"))
-    near = near_links(distinct).withColumn("near", F.lit(True))
-    fate = distinct.select("l1", "l2", "c", F.expr(PLACE).alias("first"), "k", "h", "no").join(near, ["k", "h", "no"], "left")
-    fate = settle(fate.where("c > 1 OR near").select("l1", "l2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = lines.select("k", "h", "no", "l1", "l2").join(fate, ["l1", "l2"]).where(f"near OR first != {PLACE}")
-    return settle(gone.groupBy("k", "h").agg(F.sort_array(F.collect_set("no")).alias("removed")))
+    with cleanup(own.sparkSession):
+        lines = lines_of(own)
+        distinct = lines.groupBy("l1", "l2").agg(F.count("*").alias("c"), F.min(F.expr(PLACE)).alias("first"), F.first("line").alias("line"))
+        distinct = settle(distinct.select("l1", "l2", "c", "first.k", "first.h", "first.no", "line"))
+        near = near_links(distinct).withColumn("near", F.lit(True))
+        fate = distinct.select("l1", "l2", "c", F.expr(PLACE).alias("first"), "k", "h", "no").join(near, ["k", "h", "no"], "left")
+        fate = settle(fate.where("c > 1 OR near").select("l1", "l2", "first", F.coalesce("near", F.lit(False)).alias("near")))
+        gone = lines.select("k", "h", "no", "l1", "l2").join(fate, ["l1", "l2"]).where(f"near OR first != {PLACE}")
+        return settle(gone.groupBy("k", "h").agg(F.sort_array(F.collect_set("no")).alias("removed")), keep=True)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

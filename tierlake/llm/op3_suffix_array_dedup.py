@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchored, covered
-from .common import SLICE_BYTES, as_long, batch_of, byte_grams, conf_text_batches, digests, keyed, longs, ranges, real_id, settle, slices, table
+from .common import SLICE_BYTES, as_long, batch_of, byte_grams, cleanup, conf_text_batches, digests, keyed, longs, ranges, real_id, settle, slices, table
 from .repeats import ANCHORS, ANCHORS_SQL, matched, per_document, repeated, span_lists
 
 LENGTH = 200
@@ -260,7 +260,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """k, n_bytes, n_removed, n_spans, kept (the remaining bytes): one row per document."""
     conf_text_batches(docs.sparkSession)
     own = keyed(docs, doc_id, text)
-    spans = settle(per_document(repeated_spans(own), "lo", "n"))
+    with cleanup(docs.sparkSession):
+        spans = settle(per_document(repeated_spans(own), "lo", "n"), keep=True)
     return own.join(spans, ["k", "h"], "left").mapInArrow(_kept, "k long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import U64, batch_of, conf_text_batches, grams, mix, slices, span_hashes, table, word_hashes, words
 from .op9_quality_classifier import sample
 
-TRAIN_ROWS = 1_500
+TRAIN_ROWS = 1_000
 TRAIN_BYTES = 60_000
 CONTENT_SHARE = 0.5
 MIN_WORDS = 20
@@ -40,8 +40,8 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: Lines in a training sequence; longer documents are parted.
 TRAIN_LINES = 32
-STEPS = 200
-RIDGE = 1e-4
+STEPS = 250
+RIDGE = 5e-5
 
 BOILERPLATE, CONTENT = 0, 1
 FEATURES = ["one", "log_words", "short", "symbols", "bangs", "capitals", "digits", "word_length", "ends_sentence", "again", "bars", "odd", "seen", "edge"]

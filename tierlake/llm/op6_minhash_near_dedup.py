@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Tables, as_long, batch_of, conf_text_batches, digests, grams, key_of, keyed, longs, mix, real_id, row_of, settle, slices, table, texts, unused, word_hashes, words
+from .common import U64, as_long, batch_of, cleanup, conf_text_batches, digests, grams, key_of, keyed, longs, mix, real_id, row_of, settle, slices, table, texts, unused, word_hashes, words
 from .components import components
 
 SHINGLE = 5
@@ -253,33 +253,34 @@ def across(rare: DataFrame, sketch: DataFrame) -> DataFrame:
 
 def classes(own: DataFrame) -> DataFrame:
     """k, h, class_k, class_h: every document (as keyed() gives them) with the least one of its class."""
-    signed = settle(own.mapInArrow(_sign, SIGNED_SQL))
-    # equal texts are one; its id is a hash of the text's hashes
-    rep = signed.where("t1 != 0 or t2 != 0").groupBy("t1", "t2").agg(F.min(F.struct("k", "h")).alias("one"), F.first("bands").alias("bands"))
-    rep = settle(rep.withColumn("id", F.xxhash64("t1", "t2")))
-    buckets = rep.select("id", F.explode("bands").alias("band"))
-    crowded = settle(buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
-    members = settle(buckets.join(crowded, "band"))
-    # a bucket's representative is its most popular member, the one that shares most bands with most texts: in a group of copies, mostly what they were copied from
-    popular = settle(members.groupBy("id").agg(F.sum("c").alias("popular")))
-    heads = settle(members.select("id", "band").join(popular, "id").groupBy("band").agg(F.max_by("id", F.struct("popular", "id")).alias("head")))
-    tested = settle(members.join(heads, "band").where("id != head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
-
-    places = rep.join(members.select("id").distinct(), "id", "left_semi").select("id", "one.k", "one.h")
-    sets = settle(own.join(places, ["k", "h"]).select("id", "text").mapInArrow(_sets, "id long, shingles binary, weights binary"))
-    links = settle(verified(tested, sets))
-    roots = components(links, "a", "b")
-    # Buckets whose members are in several classes: across these classes, all pairs that could be similar enough
-    placed = members.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = settle(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band"))
-    crossing = settle(placed.join(mixed, "band").select("id", "root").distinct())
-    sketch = settle(sketches(sets.join(crossing, "id", "left_semi")))
-    pairs = settle(across(rare_shingles(sets).join(crossing, "id"), sketch).join(tested, ["a", "b"], "left_anti"))
-    more = settle(verified(pairs, sets))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more), "a", "b")
-    named = rep.join(roots.withColumnRenamed("node", "id"), "id", "left").select("t1", "t2", "one", F.coalesce("root", "id").alias("root"))
-    texts = settle(named.join(named.groupBy("root").agg(F.min("one").alias("class")), "root").select("t1", "t2", "class"))
+    with cleanup(own.sparkSession):
+        signed = settle(own.mapInArrow(_sign, SIGNED_SQL), keep=True)
+        # equal texts are one; its id is a hash of the text's hashes
+        rep = signed.where("t1 != 0 or t2 != 0").groupBy("t1", "t2").agg(F.min(F.struct("k", "h")).alias("one"), F.first("bands").alias("bands"))
+        rep = settle(rep.withColumn("id", F.xxhash64("t1", "t2")))
+        buckets = rep.select("id", F.explode("bands").alias("band"))
+        crowded = settle(buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
+        members = settle(buckets.join(crowded, "band"))
+        # a bucket's representative is its most popular member, the one that shares most bands with most texts: in a group of copies, mostly what they were copied from
+        popular = settle(members.groupBy("id").agg(F.sum("c").alias("popular")))
+        heads = settle(members.select("id", "band").join(popular, "id").groupBy("band").agg(F.max_by("id", F.struct("popular", "id")).alias("head")))
+        tested = settle(members.join(heads, "band").where("id != head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
+
+        places = rep.join(members.select("id").distinct(), "id", "left_semi").select("id", "one.k", "one.h")
+        sets = settle(own.join(places, ["k", "h"]).select("id", "text").mapInArrow(_sets, "id long, shingles binary, weights binary"))
+        links = settle(verified(tested, sets))
+        roots = components(links, "a", "b")
+        # Buckets whose members are in several classes: across these classes, all pairs that could be similar enough
+        placed = members.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = settle(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band"))
+        crossing = settle(placed.join(mixed, "band").select("id", "root").distinct())
+        sketch = settle(sketches(sets.join(crossing, "id", "left_semi")))
+        pairs = settle(across(rare_shingles(sets).join(crossing, "id"), sketch).join(tested, ["a", "b"], "left_anti"))
+        more = settle(verified(pairs, sets))
+        if not more.isEmpty():
+            roots = components(links.unionByName(more), "a", "b")
+        named = rep.join(roots.withColumnRenamed("node", "id"), "id", "left").select("t1", "t2", "one", F.coalesce("root", "id").alias("root"))
+        texts = settle(named.join(named.groupBy("root").agg(F.min("one").alias("class")), "root").select("t1", "t2", "class"), keep=True)
     return signed.join(texts, ["t1", "t2"], "left").select("k", "h", F.coalesce("class.k", "k").alias("class_k"), F.coalesce("class.h", "h").alias("class_h"))
 
 

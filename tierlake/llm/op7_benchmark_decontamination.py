@@ -1,20 +1,25 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits, A-Z lower-cased. Every SEED-gram of a test
-item is a seed, however frequent its words are: a passage that holds one is found
-in a corpus of any size. Documents are joined to the seeds by hash; near the hits,
-the passage is aligned with the whole item, word by word, and the best local score,
-as a share of the score of a perfect copy, is the result. At SCORE or more it is a
-leak. What chance joins is mostly not aligned: a passage that holds too few of the
-item's words can't reach SCORE (an exact bound).
+Words are runs of letters and digits, A-Z lower-cased. Three words of a test item
+within four in a row (SHAPES) are a seed, however frequent they are: a passage that
+holds one, with at most one word in between, is found in a corpus of any size.
+Documents are joined to the seeds by hash; near the hits, the passage is aligned with the whole item,
+word by word, and the best local score, as a share of the score of a perfect copy,
+is the result. At SCORE or more it is a leak. What chance joins is mostly not aligned: a
+passage that holds too few of the item's words can't reach SCORE (an exact bound).
+
+Why these seeds: a copy at SCORE 0.5 with replaced words has two thirds of the
+item's words in place, so some four words in a row hold three of them, wherever
+the others are. Only passages shorter than that, or cut up by insertions, can be missed.
 
 Test items are a query set against all documents: they are taken in blocks of at
 most BLOCK_WORDS words, and only a block is sent to the tasks. Documents are never
 shuffled; a very frequent passage costs each document that holds it one alignment.
 
 Defined cases: null or empty texts have no words and no hits. An item of fewer
-than SEED words is found only as a whole: its whole word sequence is the seed. Repeated documents give repeated rows; items with equal
-item_id and text count once. Other columns are ignored.
+than SEED words is found only as a whole: its whole word sequence is the seed.
+Repeated documents give repeated rows; items with equal item_id and text count once.
+Null ids are ids like any other. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from .common import conf_text_batches, slices, span_hashes, table
 from .op9_quality_classifier import _KIND, tokens
 
 SEED = 3
+#: Places of a seed's words.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1_000_000
@@ -44,9 +51,13 @@ def hashed_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return span_hashes(low, starts, ends, 7), np.searchsorted(starts, offs)
 
 
-def grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams within documents, and where each starts."""
-    got = common.grams(words, n, 8)
+def grams(words: np.ndarray, first: np.ndarray, n: int, shape: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams (or of the words at the places of shape) within documents, and where each starts."""
+    if shape is None or shape[-1] == n - 1:
+        got = common.grams(words, n, 8)
+    else:  # the same hash as that of these words next to each other
+        got = common.grams_at(words, shape, 8)
+        n = shape[-1] + 1
     ok = np.ones(len(got), bool)
     for k in range(1, n):  # no n-gram runs over a border
         at = first[1:-1] - k
@@ -80,8 +91,10 @@ class Block:
         self.words = [words[first[k] : first[k + 1]] for k in keep]
         hashes, short = [], []
         for k, w in enumerate(self.words):
-            n = min(SEED, len(w))
-            (hashes if n == SEED else short).extend((int(h), k) for h in np.unique(common.grams(w, n, 8)))
+            if len(w) < SEED:
+                short.append((int(common.grams(w, len(w), 8)[0]), k))
+            else:
+                hashes.extend((int(h), k) for h in np.unique(np.concatenate([common.grams_at(w, shape, 8) for shape in SHAPES])))
         self.hashes, self.items = self._sorted(hashes)
         self.short = {n: self._sorted([(h, k) for h, k in short if len(self.words[k]) == n]) for n in range(1, SEED)}
 
@@ -110,7 +123,7 @@ _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", p
 def leaks_of(block: Block, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, float, int, int]]:
     """(row, item_id, score, first word and number of words of the passage): the best passage of each row and item."""
     words, first = hashed_words(data, offs)
-    found = [_hits(block.hashes, block.items, *grams(words, first, SEED))]
+    found = [_hits(block.hashes, block.items, *grams(words, first, SEED, shape)) for shape in SHAPES]
     found += [_hits(*block.short[n], *grams(words, first, n)) for n in range(1, SEED) if len(block.short[n][0])]
     place, item = np.concatenate([p for p, _ in found]), np.concatenate([k for _, k in found])
     if not len(place):

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchored, covered
-from .common import Tables, as_long, batch_of, conf_text_batches, delete, digests, grams, joined, keyed, longs, partitions, ranges, real_id, scratch, settle, slices, table, word_hashes, words
+from .common import as_long, batch_of, cleanup, conf_text_batches, delete, digests, grams, joined, keyed, longs, partitions, ranges, real_id, scratch, settle, slices, table, word_hashes, words
 from .repeats import matched, per_document, span_lists
 
 WINDOW = 20
@@ -169,44 +169,43 @@ def repeats_in(batch: DataFrame, index: FingerprintIndex, documents: DataFrame)
 
     documents: where the text of the index's entries is found, the batch's included.
     """
-    tables = Tables(batch.sparkSession)
-    anchors = tables.settle(batch.mapInArrow(_anchors, ANCHORS_SQL))
-    first = F.min(F.expr(PLACE)).alias("first")
-    kinds = anchors.groupBy(*SEGMENT).agg(F.count("*").alias("c"), first, F.first("n").alias("n")).select(*SEGMENT, "c", "first.*", "n")
-    name = index.write(kinds)
-    run = batch.sparkSession.table(name)
-    mine = run.select(*FingerprintIndex.FIELDS, F.lit(True).alias("own"))
-    past = None
-    for old in index.runs():  # bucket by bucket: sorted runs are merged, nothing is dealt anew
-        hits = old.join(run.select("anchor"), "anchor", "left_semi").select(*FingerprintIndex.FIELDS, F.lit(False).alias("own"))
-        past = hits if past is None else past.unionByName(hits)
-    # most anchors occur once, here and in history: their windows are unique
-    again = run.groupBy("anchor").agg(F.sum("c").alias("c"), F.count("*").alias("n")).where("c > 1")
-    if past is None:
-        touched = tables.settle(again.select("anchor"))
-        every = mine.join(touched, "anchor", "left_semi")
-    else:
-        past = tables.settle(past)
-        touched = tables.settle(again.select("anchor").unionByName(past.select("anchor")).distinct())
-        every = mine.join(touched, "anchor", "left_semi").unionByName(past)
-    first = F.min(F.struct("own", "k", "h", "lo")).alias("first")
-    every = tables.settle(every.groupBy(*SEGMENT).agg(F.sum(F.when(F.col("own"), F.col("c")).otherwise(0)).alias("c"), F.count_if(~F.col("own")).alias("known"), first, F.first("n").alias("n")))
-
-    # a segment's later occurrences go whole; its first one in the batch too, if history has it
-    repeats = tables.settle(every.where("c > 1 OR c > 0 AND known > 0").select(*SEGMENT, "c", F.when(F.col("known") == 0, F.struct("first.k", "first.h", "first.lo")).alias("stays")))
-    whole = matched(anchors, repeats, SEGMENT).where(F.expr(f"NOT ({PLACE} <=> stays)")).select(*SPANS)
-
-    # windows one by one, for one copy of each segment of anchors that have several
-    several = tables.settle(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"))
-    one = matched(every.select("anchor", "first.own", "first.k", "first.h", "first.lo", "n"), several, ["anchor"])
-    windows = tables.settle(documents.join(tables.settle(per_document(one, "lo", "n", "own")), ["k", "h"]).mapInArrow(_windows, WINDOWS_SQL))
-    earliest = windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("own", "k", "h", "lo")).alias("first")).where("c > 1")
-    earliest = tables.settle(earliest.select("w1", "w2", "c", F.struct("first.k", "first.h", "first.lo").alias("first")))
-    later = matched(windows.where("own"), earliest, ["w1", "w2"]).where(f"{PLACE} != first").select("k", "h", "lo", F.lit(1).cast("long").alias("n"))
-
-    spans = settle(per_document(whole.unionByName(later), "lo", "n"))
+    with cleanup(batch.sparkSession):
+        anchors = settle(batch.mapInArrow(_anchors, ANCHORS_SQL))
+        first = F.min(F.expr(PLACE)).alias("first")
+        kinds = anchors.groupBy(*SEGMENT).agg(F.count("*").alias("c"), first, F.first("n").alias("n")).select(*SEGMENT, "c", "first.*", "n")
+        name = index.write(kinds)
+        run = batch.sparkSession.table(name)
+        mine = run.select(*FingerprintIndex.FIELDS, F.lit(True).alias("own"))
+        past = None
+        for old in index.runs():  # bucket by bucket: sorted runs are merged, nothing is dealt anew
+            hits = old.join(run.select("anchor"), "anchor", "left_semi").select(*FingerprintIndex.FIELDS, F.lit(False).alias("own"))
+            past = hits if past is None else past.unionByName(hits)
+        # most anchors occur once, here and in history: their windows are unique
+        again = run.groupBy("anchor").agg(F.sum("c").alias("c"), F.count("*").alias("n")).where("c > 1")
+        if past is None:
+            touched = settle(again.select("anchor"))
+            every = mine.join(touched, "anchor", "left_semi")
+        else:
+            past = settle(past)
+            touched = settle(again.select("anchor").unionByName(past.select("anchor")).distinct())
+            every = mine.join(touched, "anchor", "left_semi").unionByName(past)
+        first = F.min(F.struct("own", "k", "h", "lo")).alias("first")
+        every = settle(every.groupBy(*SEGMENT).agg(F.sum(F.when(F.col("own"), F.col("c")).otherwise(0)).alias("c"), F.count_if(~F.col("own")).alias("known"), first, F.first("n").alias("n")))
+
+        # a segment's later occurrences go whole; its first one in the batch too, if history has it
+        repeats = settle(every.where("c > 1 OR c > 0 AND known > 0").select(*SEGMENT, "c", F.when(F.col("known") == 0, F.struct("first.k", "first.h", "first.lo")).alias("stays")))
+        whole = matched(anchors, repeats, SEGMENT).where(F.expr(f"NOT ({PLACE} <=> stays)")).select(*SPANS)
+
+        # windows one by one, for one copy of each segment of anchors that have several
+        several = settle(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"))
+        one = matched(every.select("anchor", "first.own", "first.k", "first.h", "first.lo", "n"), several, ["anchor"])
+        windows = settle(documents.join(settle(per_document(one, "lo", "n", "own")), ["k", "h"]).mapInArrow(_windows, WINDOWS_SQL))
+        earliest = windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("own", "k", "h", "lo")).alias("first")).where("c > 1")
+        earliest = settle(earliest.select("w1", "w2", "c", F.struct("first.k", "first.h", "first.lo").alias("first")))
+        later = matched(windows.where("own"), earliest, ["w1", "w2"]).where(f"{PLACE} != first").select("k", "h", "lo", F.lit(1).cast("long").alias("n"))
+
+        spans = settle(per_document(whole.unionByName(later), "lo", "n"), keep=True)
     index.append(name)
-    tables.drop()
     return spans
 
 
