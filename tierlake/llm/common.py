@@ -75,6 +75,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop(settled: DataFrame) -> None:
+    """Drops a table that settle() has written."""
+    for path in {f.rsplit("/", 1)[0] for f in settled.inputFiles()}:
+        delete(settled.sparkSession, path)
+
+
 @contextlib.contextmanager
 def cleanup(spark: SparkSession) -> Iterator[None]:
     """Drops at its end what was settled within and not kept: disk follows a step, not the whole job."""

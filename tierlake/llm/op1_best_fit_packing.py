@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from struct import pack as packed_longs
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,8 @@ FAN_IN = 4
 #: The rounds above a group take in fewer than FAN_IN bins each, so this many of a fill are enough for rounds / FAN_IN of them.
 PASS = 24
 LOCAL_PIECES = 50_000
-#: Memory for the words that a worker remembers, and what an entry takes besides its text and ids; beyond it, it starts anew.
-CACHE_BYTES, ENTRY_BYTES = 30 << 20, 220
+#: Memory for the words that a worker remembers, twice, and what an entry takes besides its text and ids. When it is full, only words that come again stay.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 220
 #: Longer words are not remembered.
 CACHE_LETTERS = 64
 
@@ -72,19 +73,22 @@ class WordIds(dict):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level: bytes that stand for themselves; the others follow from 256
         hidden = [b for b in range(256) if b not in set(shown)]
         self.char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.room = CACHE_BYTES
+        self.room, self.old = CACHE_BYTES, {}
 
     def __missing__(self, word: str) -> bytes:
-        if "<|" in word or not self.LATIN.fullmatch(word):
+        if (got := self.old.get(word)) is not None:
+            pass
+        elif "<|" in word or not self.LATIN.fullmatch(word):
             got = self.encode_whole(word)
         elif (parts := self.PARTS.findall(word.lower())) == [word]:
             text = word if word.isascii() else "".join(map(self.char.__getitem__, word.encode()))
-            got = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            got = packed_longs(f"<{len(ids := [t.id for t in self.model.tokenize(text)])}I", *ids)
         else:  # a part of a part is itself
             got = b"".join(map(self.__getitem__, parts))
         if len(word) <= CACHE_LETTERS:
             self.room -= len(word) + len(got) + ENTRY_BYTES
             if self.room < 0:
+                self.old = self.copy()
                 self.clear()
                 self.room = CACHE_BYTES
             self[word] = got

@@ -35,15 +35,17 @@ from .common import table
 #: (host, path, verdict)
 HOST_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
+#: Host names of these two parts, with or without a hyphen between them, are blocked.
+FIRST = ["spam", "cheap", "casino", "free", "adult", "ads", "fake", "click", "lucky", "easy", "fast", "bonus", "poker", "loan", "crypto", "prize", "viral", "pirate", "replica", "hot"]
+SECOND = ["farm", "pills", "win", "bets", "x", "track", "clicks", "cash", "coins", "deals", "games", "links"]
+
+
+def pair_rule(first: str, second: str) -> tuple[str, list[list[str]], str]:
+    return f"{first}-{second}", [[first, second], [first + second]], rf"://([^/?#]*[.-])?{first}-?{second}[.-]"
+
+
 #: (name, spellings: literal tokens that a match must hold, regular expression on the lower-cased URL)
-PATTERN_RULES = [
-    ("farm", [["spam", "farm"], ["spamfarm"]], r"://([^/?#]*[.-])?spam-?farm[.-]"),
-    ("pills", [["cheap", "pills"], ["cheappills"]], r"://([^/?#]*[.-])?cheap-?pills[.-]"),
-    ("casino", [["casino", "win"], ["casinowin"]], r"://([^/?#]*[.-])?casino-?win[.-]"),
-    ("bets", [["free", "bets"], ["freebets"]], r"://([^/?#]*[.-])?free-?bets[.-]"),
-    ("adult", [["adult", "x"], ["adultx"]], r"://([^/?#]*[.-])?adult-?x[.-]"),
-    ("ads", [["ads", "track"], ["adstrack"]], r"://([^/?#]*[.-])?ads-?track[.-]"),
-]
+PATTERN_RULES = [pair_rule(a, b) for a in FIRST for b in SECOND]
 
 #: A rule list of more rows than this is not broadcast.
 BROADCAST_RULES = 20_000
@@ -160,7 +162,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), "page_id", "url")
 
 
-_BLOCK = "|".join(r for _, _, r in PATTERN_RULES)
+_ANY = rf"://([^/?#]*[.-])?({'|'.join(FIRST)})-?({'|'.join(SECOND)})[.-]"
 ORACLE = f"""
 WITH u AS (
   SELECT page_id, url, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS raw_host,
@@ -172,6 +174,7 @@ m AS (
   SELECT h.page_id, h.url, h.host, h.path, r.rule_host || r.rule_path AS rule, r.v,
          row_number() OVER (PARTITION BY h.page_id ORDER BY length(r.rule_host) DESC NULLS LAST, length(r.rule_path) DESC NULLS LAST) AS k
   FROM h LEFT JOIN rules r ON (h.host = r.rule_host OR ends_with(h.host, '.' || r.rule_host)) AND starts_with(h.path, r.rule_path)),
-p AS (SELECT *, (SELECT min(name) FROM (VALUES {", ".join(f"('{n}', '{r}')" for n, _, r in PATTERN_RULES)}) q(name, re) WHERE contains(coalesce(url, ''), '://') AND regexp_matches(lower(url), re)) AS pattern FROM m WHERE k = 1)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, pattern FROM p
+fetched AS (SELECT DISTINCT url FROM pages WHERE regexp_matches(lower(url), '{_ANY}')),
+hits AS (SELECT url, min(name) AS pattern FROM fetched, (VALUES {", ".join(f"('{n}', '{r}')" for n, _, r in PATTERN_RULES)}) q(name, re) WHERE regexp_matches(lower(url), re) GROUP BY url)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, pattern FROM m LEFT JOIN hits ON m.url = hits.url WHERE k = 1
 """
