@@ -162,6 +162,19 @@ def test_licenses(docs, empty, spark):
     assert {r.license for r in op2.scan(docs).collect()} == {"reserved"}
 
 
+def test_many_templates_are_joined(spark, docs, monkeypatch):
+    """Beyond the bounds for literals and broadcast the same rows come from joins."""
+    rng = random.Random(2)
+    templates = [(f"t{k}", sentence(rng, rng.randrange(3, 40))) for k in range(25)] + op2.TEMPLATES
+    texts = [(i, sentence(rng, 30) + " " + " ".join(t.split()[: max(1, len(t.split()) * (7 + i % 4) // 10)]) + " " + sentence(rng, 30)) for i, (_, t) in enumerate(templates)]
+    some = spark.createDataFrame([*texts, (None, None), (1, "")], "doc_id long, text string").repartition(2)
+    plain = norm(tuple(r) for r in op2.scan(some, templates).collect())
+    monkeypatch.setattr(op2, "LITERALS", 3)
+    monkeypatch.setattr(op2, "BROADCAST_BANDS", 3)
+    assert norm(tuple(r) for r in op2.scan(some, templates).collect()) == plain
+    assert len(plain) > 10
+
+
 def test_urls(spark):
     urls = ["https://www.example.com/en/a?x#y", "http://Example.COM/en/", "http://b.example.com/de/1", "ftp://spam-farm.org/x", "http://x.net/es/a", "http://x.net/essay", "nothing", "", None, "http://", "http://net/fr/", "http://cheap-pills.www.example.com/en/", "http://a.org/?q=spam-farm."]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "h")], "page_id long, url string, host string")

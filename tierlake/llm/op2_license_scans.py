@@ -12,10 +12,11 @@ each document and template (of equals, the first).
 
 Retrieval: BANDS MinHash bands of one row. A window with 80 % of a template has a
 Jaccard similarity of at least 0.8 / 2.2 = 0.36 with it and shares a band with a
-probability of 1 - 0.64 ** 24 > 0.99997. Only windows with one of the templates'
-shingles are signed: all others have a similarity of zero and can't share a band.
+probability of 1 - 0.64 ** 24 > 0.99997. A window shares a band only if it holds the
+shingle that is the template's least one in that band, so these shingles are the
+bands' index: they fetch the windows, whose own bands are then worked out and joined.
 
-Templates are a caller's list; their shingles are literals of the query up to
+Templates are a caller's list; the shingles of their bands are literals of the query up to
 LITERALS of them, and a join beyond. Their bands are broadcast up to
 BROADCAST_BANDS rows, and shuffled beyond.
 
@@ -66,14 +67,19 @@ def signature(column: str):
     return F.expr(f"transform(sequence(1, {BANDS}), b -> xxhash64(b, array_min(transform({column}, s -> xxhash64(s, b)))))")
 
 
+def least(column: str):
+    """The shingle behind each band."""
+    return F.expr(f"transform(sequence(1, {BANDS}), b -> array_min(transform({column}, s -> struct(xxhash64(s, b) AS h, s AS s))).s)")
+
+
 def templates_of(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> list:
-    """(name, width of its shingles, its distinct shingles, their number, its bands) per template."""
+    """(name, width of its shingles, its distinct shingles, their number, its bands, the shingles behind them) per template."""
     raw = spark.createDataFrame(list(templates), "license string, text string").withColumn("t", tokens(F.col("text"))).where("size(t) > 0")
     raw = raw.withColumn("width", F.least(F.lit(SHINGLE), F.size("t")))
     out = []
     for width in range(1, SHINGLE + 1):
         own = raw.where(F.col("width") == width).withColumn("s", F.array_distinct(shingles("t", width)))
-        out += own.select("license", "width", "s", F.size("s").alias("m"), signature("s").alias("bands")).collect()  # the caller's own list
+        out += own.select("license", "width", "s", F.size("s").alias("m"), signature("s").alias("bands"), least("s").alias("least")).collect()  # the caller's own list
     return out
 
 
@@ -85,7 +91,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, doc_
     out = None
     for width in sorted({r.width for r in known}):
         mine = [r for r in known if r.width == width]
-        wanted = sorted({s for r in mine for s in r.s})
+        wanted = sorted({s for r in mine for s in r.least})
         signed = tokenised.select("k", "h", once(shingles("t", width)).alias("s"))
         if len(wanted) <= LITERALS:
             hits = F.expr(f"filter(transform(s, (x, i) -> CASE WHEN x IN ({', '.join(f'{s}L' if s != -(2**63) else f'CAST({s} AS BIGINT)' for s in wanted)}) THEN i END), i -> i IS NOT NULL)")

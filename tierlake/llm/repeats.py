@@ -30,15 +30,16 @@ def matched(rows: DataFrame, groups: DataFrame, keys: list[str], counts: str = "
     Rows of hot groups are joined by broadcast, and spread by a hash of the whole row on their way.
     """
     extra = [c for c in groups.columns if c not in keys and c != counts]
-    total = groups.agg(F.sum(counts)).head()[0] or 0
-    hot = groups.where(F.col(counts) > F.lit(total // HOT + 1))
-    if hot.isEmpty():
+    total, most = groups.agg(F.sum(counts), F.max(counts)).head()
+    limit = (total or 0) // HOT + 1
+    if (most or 0) <= limit:
         return rows.join(groups.drop(counts), keys)
+    hot = groups.where(F.col(counts) > limit)
     own, (is_hot, spread, found) = rows.columns, unused(rows, "hot", "spread", "found")
     hot = hot.select(*keys, *[F.col(c).alias(f"{c}_hot") for c in extra], F.lit(True).alias(is_hot))
     flagged = rows.join(F.broadcast(hot), keys, "left")
     flagged = flagged.withColumn(spread, F.when(F.col(is_hot), F.xxhash64(*own)).otherwise(F.col(keys[0])))
-    cold = groups.where(F.col(counts) <= F.lit(total // HOT + 1)).select(F.col(keys[0]).alias(spread), *keys[1:], *[F.col(c).alias(f"{c}_cold") for c in extra], F.lit(True).alias(found))
+    cold = groups.where(F.col(counts) <= limit).select(F.col(keys[0]).alias(spread), *keys[1:], *[F.col(c).alias(f"{c}_cold") for c in extra], F.lit(True).alias(found))
     out = flagged.join(cold, [spread, *keys[1:]], "left").where(F.col(is_hot) | F.col(found))
     return out.select(*own, *[F.when(F.col(is_hot), F.col(f"{c}_hot")).otherwise(F.col(f"{c}_cold")).alias(c) for c in extra])
 
