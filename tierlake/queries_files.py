@@ -80,6 +80,18 @@ def throughput(spark, d):
     return stats.efficiency(m).select("run", *[F.round(c, 6).alias(c) for c in ("qps", "cores", "qps_per_core")])
 
 
+@query("WITH f AS (SELECT 'region=' || n_regionkey AS file, string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY n_nationkey) AS body FROM nation GROUP BY n_regionkey) SELECT file, octet_length(encode(body))::BIGINT AS size, i AS slice, md5(substr(body, i * 16 + 1, 16)) AS digest FROM (SELECT file, body, unnest(generate_series(0, length(body) // 16 - 1)) AS i FROM f)")
+def binary_slices(spark, d):
+    """Files read as bytes and cut to whole slices, the rest of a file dropped."""
+    n = table(spark, d, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("line"), F.col("n_regionkey").alias("region"), "n_nationkey")
+    path = scratch(spark)
+    n.repartition("region").sortWithinPartitions("region", "n_nationkey").select("line", "region").write.partitionBy("region").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    whole = files.select(F.regexp_extract("path", "region=[^/]*", 0).alias("file"), F.col("length").alias("size"), "content")
+    parts = whole.select("file", "size", "content", F.explode(F.sequence(F.lit(0), (F.floor(F.col("size") / 16) - 1).cast("int"))).alias("slice"))
+    return parts.select("file", "size", F.col("slice").cast("long").alias("slice"), F.md5(F.expr("substring(content, slice * 16 + 1, 16)")).alias("digest"))
+
+
 # --------------------------------------------------------------------------
 # Operation files
 
