@@ -41,8 +41,8 @@ from .repeats import matched, per_document, span_lists
 
 WINDOW = 20
 K = 5
-BATCHES = 5
-FAN_IN = 4
+BATCHES = 3
+FAN_IN = 2
 
 #: A place in the corpus that orders as "earlier" does.
 PLACE = "struct(k, h, lo)"
@@ -108,10 +108,13 @@ class FingerprintIndex:
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, "anchor")
+
     def write(self, rows: DataFrame) -> str:
+        """A new run of rows that have been dealt()."""
         name = f"run_{uuid.uuid4().hex}"
-        dealt = rows.select(*self.FIELDS).repartition(self.buckets, "anchor")
-        dealt.write.format("parquet").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
+        rows.select(*self.FIELDS).write.format("parquet").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
         return name
 
     def append(self, run: str) -> None:
@@ -125,7 +128,7 @@ class FingerprintIndex:
             for name in self.levels[level][1:]:
                 every = every.unionByName(self.spark.table(name))
             first = F.min_by(F.struct(*SPANS), F.expr(PLACE)).alias("x")
-            merged = every.groupBy(*SEGMENT).agg(F.sum("c").alias("c"), first).select(*SEGMENT, "c", "x.*")
+            merged = self.dealt(every).groupBy(*SEGMENT).agg(F.sum("c").alias("c"), first).select(*SEGMENT, "c", "x.*")
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(self.write(merged))
@@ -171,9 +174,13 @@ def repeats_in(batch: DataFrame, index: FingerprintIndex, documents: DataFrame)
     """
     with cleanup(batch.sparkSession):
         anchors = settle(batch.mapInArrow(_anchors, ANCHORS_SQL))
-        first = F.min(F.expr(PLACE)).alias("first")
-        kinds = anchors.groupBy(*SEGMENT).agg(F.count("*").alias("c"), first, F.first("n").alias("n")).select(*SEGMENT, "c", "first.*", "n")
-        name = index.write(kinds)
+        # least numbers are the place of what occurs once; for the others, few, it is worked out from their occurrences
+        kinds = settle(anchors.groupBy(*SEGMENT).agg(F.count("*").alias("c"), *[F.min(c).alias(c) for c in SPANS]))
+        twice = kinds.where("c > 1")
+        copies = settle(matched(anchors, twice.select(*SEGMENT, "c", F.col("k").alias("least")), SEGMENT))
+        exact = copies.where("k = least").groupBy(*SEGMENT).agg(F.min(F.struct("h", "lo")).alias("p"))
+        firsts = twice.drop("h", "lo").join(exact, SEGMENT).select(*SEGMENT, "c", "k", "p.h", "p.lo", "n")
+        name = index.write(index.dealt(kinds.where("c = 1").unionByName(firsts)))
         run = batch.sparkSession.table(name)
         mine = run.select(*FingerprintIndex.FIELDS, F.lit(True).alias("own"))
         past = None
@@ -189,12 +196,13 @@ def repeats_in(batch: DataFrame, index: FingerprintIndex, documents: DataFrame)
             past = settle(past)
             touched = settle(again.select("anchor").unionByName(past.select("anchor")).distinct())
             every = mine.join(touched, "anchor", "left_semi").unionByName(past)
-        first = F.min(F.struct("own", "k", "h", "lo")).alias("first")
-        every = settle(every.groupBy(*SEGMENT).agg(F.sum(F.when(F.col("own"), F.col("c")).otherwise(0)).alias("c"), F.count_if(~F.col("own")).alias("known"), first, F.first("n").alias("n")))
+        first, at = F.min(F.struct("own", "k", "h", "lo")).alias("first"), F.min(F.when(F.col("own"), F.expr(PLACE))).alias("at")
+        every = settle(every.groupBy(*SEGMENT).agg(F.sum(F.when(F.col("own"), F.col("c")).otherwise(0)).alias("c"), F.count_if(~F.col("own")).alias("known"), first, at, F.first("n").alias("n")))
 
         # a segment's later occurrences go whole; its first one in the batch too, if history has it
-        repeats = settle(every.where("c > 1 OR c > 0 AND known > 0").select(*SEGMENT, "c", F.when(F.col("known") == 0, F.struct("first.k", "first.h", "first.lo")).alias("stays")))
-        whole = matched(anchors, repeats, SEGMENT).where(F.expr(f"NOT ({PLACE} <=> stays)")).select(*SPANS)
+        repeats = settle(every.where("c > 1").select(*SEGMENT, "c", F.when(F.col("known") == 0, F.col("at")).alias("stays")))
+        whole = matched(copies.drop("least"), repeats, SEGMENT).where(F.expr(f"NOT ({PLACE} <=> stays)")).select(*SPANS)
+        whole = whole.unionByName(every.where("c = 1 AND known > 0").select("at.*", "n"))
 
         # windows one by one, for one copy of each segment of anchors that have several
         several = settle(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"))
