@@ -129,7 +129,7 @@ def json_array(spark, d):
     """The numbers of an array in a JSON text, by its key, with their places."""
     own = table(spark, d, "events").select("event_id", F.expr("CASE WHEN event_id % 5 = 0 THEN array() ELSE transform(sequence(0, CAST(event_id % 5 AS int) - 1), i -> (event_id * (i + 3)) % 1000) END").alias("sizes"))
     text = own.select("event_id", F.to_json(F.struct(F.lit("get").alias("op"), "sizes")).alias("text"))
-    return text.select(F.col("event_id").alias("seq"), F.posexplode(F.from_json("text", "sizes array<long>")["sizes"]).alias("at", "size"))
+    return text.select(F.col("event_id").alias("seq"), F.posexplode(F.from_json("text", "sizes array<long>")["sizes"]).alias("at", "size")).withColumn("at", F.col("at").cast("long"))
 
 
 # --------------------------------------------------------------------------
