@@ -658,6 +658,12 @@ def test_classifier(spark, docs, empty):
 # -- op10
 
 
+def test_words_of_lines(spark):
+    lines = ["a b", " a  b ", "a\tb\rc", "\x0b\x0ca\x0bb \x0c", "a\x1cb\x85c\u00a0d", "", " \t "]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select(op10.words_of().alias("w")).collect()
+    assert [r.w for r in got] == [WORD.findall(x) for x in lines]
+
+
 def near(a, b):
     if len(a) < 5 or len(b) < 5:
         return False
