@@ -56,13 +56,13 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STEPS: list[list[str]] = []
 
 
-def settle(df: DataFrame, keep: bool = False) -> DataFrame:
+def settle(df: DataFrame, keep: bool = False, **options: str) -> DataFrame:
     """Write df to a shared table and read it back: later steps and lost executors start from the files. Within cleanup() it goes with its step; keep: with the step around that."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     if len(_STEPS) > keep:

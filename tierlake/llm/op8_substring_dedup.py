@@ -44,6 +44,9 @@ K = 5
 BATCHES = 3
 FAN_IN = 2
 
+#: Columns of hashes repeat nothing that a dictionary could hold.
+HASHES = {"parquet.enable.dictionary": "false"}
+
 #: A place in the corpus that orders as "earlier" does.
 PLACE = "struct(k, h, lo)"
 SEGMENT = ["anchor", "s1", "s2"]
@@ -114,7 +117,7 @@ class FingerprintIndex:
     def write(self, rows: DataFrame) -> str:
         """A new run of rows that have been dealt()."""
         name = f"run_{uuid.uuid4().hex}"
-        rows.select(*self.FIELDS).write.format("parquet").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
+        rows.select(*self.FIELDS).write.format("parquet").option("parquet.enable.dictionary", "false").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
         return name
 
     def append(self, run: str) -> None:
@@ -173,14 +176,9 @@ def repeats_in(batch: DataFrame, index: FingerprintIndex, documents: DataFrame)
     documents: where the text of the index's entries is found, the batch's included.
     """
     with cleanup(batch.sparkSession):
-        anchors = settle(batch.mapInArrow(_anchors, ANCHORS_SQL))
-        # least numbers are the place of what occurs once; for the others, few, it is worked out from their occurrences
-        kinds = settle(anchors.groupBy(*SEGMENT).agg(F.count("*").alias("c"), *[F.min(c).alias(c) for c in SPANS]))
-        twice = kinds.where("c > 1")
-        copies = settle(matched(anchors, twice.select(*SEGMENT, "c", F.col("k").alias("least")), SEGMENT))
-        exact = copies.where("k = least").groupBy(*SEGMENT).agg(F.min(F.struct("h", "lo")).alias("p"))
-        firsts = twice.drop("h", "lo").join(exact, SEGMENT).select(*SEGMENT, "c", "k", "p.h", "p.lo", "n")
-        name = index.write(index.dealt(kinds.where("c = 1").unionByName(firsts)))
+        anchors = settle(batch.mapInArrow(_anchors, ANCHORS_SQL), **HASHES)
+        kinds = anchors.groupBy(*SEGMENT).agg(F.count("*").alias("c"), F.min(F.expr(PLACE)).alias("p"), F.first("n").alias("n"))
+        name = index.write(index.dealt(kinds.select(*SEGMENT, "c", "p.*", "n")))
         run = batch.sparkSession.table(name)
         mine = run.select(*FingerprintIndex.FIELDS, F.lit(True).alias("own"))
         past = None
@@ -201,13 +199,13 @@ def repeats_in(batch: DataFrame, index: FingerprintIndex, documents: DataFrame)
 
         # a segment's later occurrences go whole; its first one in the batch too, if history has it
         repeats = settle(every.where("c > 1").select(*SEGMENT, "c", F.when(F.col("known") == 0, F.col("at")).alias("stays")))
-        whole = matched(copies.drop("least"), repeats, SEGMENT).where(F.expr(f"NOT ({PLACE} <=> stays)")).select(*SPANS)
+        whole = matched(anchors, repeats, SEGMENT).where(F.expr(f"NOT ({PLACE} <=> stays)")).select(*SPANS)
         whole = whole.unionByName(every.where("c = 1 AND known > 0").select("at.*", "n"))
 
         # windows one by one, for one copy of each segment of anchors that have several
         several = settle(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"))
         one = matched(every.select("anchor", "first.own", "first.k", "first.h", "first.lo", "n"), several, ["anchor"])
-        windows = settle(documents.join(settle(per_document(one, "lo", "n", "own")), ["k", "h"]).mapInArrow(_windows, WINDOWS_SQL))
+        windows = settle(documents.join(settle(per_document(one, "lo", "n", "own")), ["k", "h"]).mapInArrow(_windows, WINDOWS_SQL), **HASHES)
         earliest = windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("own", "k", "h", "lo")).alias("first")).where("c > 1")
         earliest = settle(earliest.select("w1", "w2", "c", F.struct("first.k", "first.h", "first.lo").alias("first")))
         later = matched(windows.where("own"), earliest, ["w1", "w2"]).where(f"{PLACE} != first").select("k", "h", "lo", F.lit(1).cast("long").alias("n"))
