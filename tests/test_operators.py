@@ -5,8 +5,10 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,6 +109,40 @@ def test_checksums(values):
     assert [*zip(*(f(data, n).tolist() for f in (S.fold_shift, S.fold_rotate, S.fold_31, S.fold_33)), strict=True)] == want
 
 
+def _taken(f, *args) -> int:
+    """The most bytes that f takes beside its arguments."""
+    tracemalloc.start()
+    try:
+        f(*args)
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+#: 32 MB in one value, and in values of 4 KB.
+_LARGE = np.zeros(32 << 20, np.uint8), (np.array([32 << 20]), np.full(8 << 10, 4 << 10))
+
+
+def test_shift_takes_a_block_at_a_time():
+    for n in _LARGE[1]:
+        assert _taken(S.fold_shift, _LARGE[0], n) < len(_LARGE[0])
+
+
+@given(st.lists(st.binary(max_size=60), max_size=8), st.integers(1, 20))
+def test_checksums_of_small_blocks(values, size):
+    data, n = np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values], np.int64)
+    with pytest.MonkeyPatch.context() as patch:
+        want = [f(data, n).tolist() for f in (S.fold_shift,)]
+        patch.setattr(S, "BLOCK_BYTES", size)
+        assert [f(data, n).tolist() for f in (S.fold_shift,)] == want
+
+
+def test_raw_bytes_of_a_part():
+    values = pa.array([b"xx", None, b"", b"abc", None, b"d", b"yy"], pa.binary())
+    data, n = S.raw_bytes(values[1:6])
+    assert (data.tobytes(), n.tolist()) == (b"abcd", [0, 0, 3, 0, 1])
+
+
 def test_hash_of_a_known_text(spark):
     assert spark.createDataFrame([("a",), ("",), (None,)], "t string").select(S.hash33(F.col("t")).alias("h")).collect() == [(177671,), (5382,), (None,)]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -123,8 +123,13 @@ def plausible_in(low: Column, high: Column, value: Column) -> Column:
 
 
 # --------------------------------------------------------------------------
-# Checksums of whole values. Each is linear, so all values of an Arrow batch are
-# folded together in array steps.
+# Checksums of whole values. Each is linear, so the values of a block of bytes are
+# folded together in array steps, and a value longer than a block goes on from
+# what its first blocks came to. Blocks are read from Arrow's own buffers: a task
+# holds its batch and a block's steps, whatever the number and length of values.
+
+#: Bytes of values that one array step handles at once; the steps take up to 60 times that.
+BLOCK_BYTES = 256 << 10
 
 
 @functools.lru_cache(64)
@@ -146,8 +151,24 @@ def _to_end(n: np.ndarray) -> np.ndarray:
     return np.repeat(np.cumsum(n), n) - np.arange(n.sum()) - 1
 
 
-def fold_shift(data: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """c = (c << 1) ^ byte, then c ^= c >> 16, over the bytes of each value: neighbours are merged from the end, level by level."""
+def _in_blocks(fold, join, data: np.ndarray, n: np.ndarray, start: int = 0) -> np.ndarray:
+    """A fold from start over the values of n bytes in data. fold: over a block's values from zero; join(c, n, x): c over n more bytes that come to x."""
+    ends, out, at = np.cumsum(n), np.zeros(len(n), np.uint32), 0
+    while at < len(n):
+        first = int(ends[at] - n[at])
+        to = max(at + 1, int(np.searchsorted(ends, first + BLOCK_BYTES, "right")))
+        end, c = int(ends[to - 1]), np.full(to - at, start, np.uint32)
+        for place in range(first, max(end, first + 1), BLOCK_BYTES):  # more than one place only if that's one longer value
+            block = data[place : min(place + BLOCK_BYTES, end)]
+            own = n[at:to] if end - first <= BLOCK_BYTES else np.array([len(block)])
+            c = join(c, own, fold(block, own))
+        out[at:to] = c
+        at = to
+    return out
+
+
+def _shift_block(data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Neighbours are merged from the end, level by level."""
     x, level = data.astype(np.uint32), 0
     while len(n) and n.max() > 1:
         to_end = _to_end(n)
@@ -160,7 +181,18 @@ def fold_shift(data: np.ndarray, n: np.ndarray) -> np.ndarray:
         x, n, level = out, merged, level + 1
     out = np.zeros(len(n), np.uint32)
     out[n > 0] = x
-    return out.astype(np.int64)
+    return out
+
+
+def _shift_join(c: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+    for level in range(int(n.max()).bit_length() if c.any() else 0):
+        c = np.where(n >> level & 1, _apply(_power(level), c), c)
+    return c ^ x
+
+
+def fold_shift(data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """c = (c << 1) ^ byte, then c ^= c >> 16, over the bytes of each value."""
+    return _in_blocks(_shift_block, _shift_join, data, n).astype(np.int64)
 
 
 def fold_rotate(data: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -194,15 +226,20 @@ def fold_33(data: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.abs(_polynomial(data, n, 33, 5381).view(np.int32).astype(np.int64)) + 1
 
 
+def raw_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary values one after another, as they lie in Arrow's buffer, and each value's number of bytes (of a null: any)."""
+    values = values.cast(pa.large_binary())
+    _, places, data = values.buffers()
+    if not len(values) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(values), np.int64)
+    ends = np.frombuffer(places, np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
 def _of(fold):
-    @F.pandas_udf(LongType())
-    def checksum(values: pd.Series) -> pd.Series:
-        known = values.notna().to_numpy()
-        raw = [bytes(v) for v in values[known]]
-        out = pd.Series(np.zeros(len(values), np.int64), dtype="Int64")
-        out[known] = fold(np.frombuffer(b"".join(raw), np.uint8), np.array([len(v) for v in raw], np.int64))
-        out[~known] = pd.NA
-        return out
+    @F.arrow_udf(LongType())
+    def checksum(values: pa.Array) -> pa.Array:
+        return pa.array(fold(*raw_bytes(values)), mask=values.is_null().to_numpy(zero_copy_only=False))
 
     return lambda value: checksum(value.cast("binary"))
 
