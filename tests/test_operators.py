@@ -128,6 +128,19 @@ def test_shift_takes_a_block_at_a_time():
         assert _taken(S.fold_shift, _LARGE[0], n) < len(_LARGE[0])
 
 
+def test_batches_are_folded_where_they_lie():
+    values = pa.array([b"\0" * (4 << 10)] * (8 << 10), pa.binary())
+    assert _taken(S.folded, S.fold_shift, values) < values.nbytes
+
+
+def test_reads_check_the_last_byte_of_long_bodies(spark):
+    body = "é0123456789" * 60_000
+    rows = [(0, body, body), (1, body, body[:-1]), (2, body, body[:-1] + "0"), (3, body, "0" + body[:-1]), (4, body, None)]
+    written = spark.createDataFrame(rows, "seq long, body string, there string").withColumns({"lba": F.col("seq") * 4096, "size": F.octet_length("body").cast("long"), "checksum": S.checksum_shift(F.col("body"))})
+    read = objects.read_checked(written.select("seq", "lba", "size", "checksum"), written.select("lba", F.col("there").alias("body")), S.checksum_shift)
+    assert {r.seq: r.status for r in read.collect()} == {0: "OK"} | dict.fromkeys((1, 2, 3, 4), "IO_ERROR")
+
+
 @given(st.lists(st.binary(max_size=60), max_size=8), st.integers(1, 20))
 def test_checksums_of_small_blocks(values, size):
     data, n = np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values], np.int64)

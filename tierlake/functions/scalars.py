@@ -236,10 +236,15 @@ def raw_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], np.diff(ends)
 
 
+def folded(fold, values: pa.Array) -> pa.Array:
+    """A fold of each of an Arrow batch's binary values; null of a null."""
+    return pa.array(fold(*raw_bytes(values)), mask=values.is_null().to_numpy(zero_copy_only=False))
+
+
 def _of(fold):
     @F.arrow_udf(LongType())
     def checksum(values: pa.Array) -> pa.Array:
-        return pa.array(fold(*raw_bytes(values)), mask=values.is_null().to_numpy(zero_copy_only=False))
+        return folded(fold, values)
 
     return lambda value: checksum(value.cast("binary"))
 
