@@ -210,10 +210,16 @@ def _reduced(of: np.ufunc, x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(8)
+def _powers(base: int, most: int) -> np.ndarray:
+    """base ** 0 to base ** most modulo 2^32."""
+    return np.multiply.accumulate(np.append(np.uint32(1), np.full(most, base, np.uint32)), dtype=np.uint32)
+
+
 def _polynomial(data: np.ndarray, n: np.ndarray, base: int, start: int) -> np.ndarray:
     """h = h * base + byte modulo 2^32 from start."""
-    powers = np.multiply.accumulate(np.append(np.uint32(1), np.full(int(n.max(initial=0)), base, np.uint32)), dtype=np.uint32)
-    return _reduced(np.add, data.astype(np.uint32) * powers[_to_end(n)], n) + np.uint32(start) * powers[n]
+    powers = _powers(base, BLOCK_BYTES)
+    return _in_blocks(lambda x, n: _reduced(np.add, x.astype(np.uint32) * powers[_to_end(n)], n), lambda c, n, x: c * powers[n] + x, data, n, start)
 
 
 def fold_31(data: np.ndarray, n: np.ndarray) -> np.ndarray:
