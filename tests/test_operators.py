@@ -133,6 +133,11 @@ def test_polynomials_take_a_block_at_a_time():
         assert max(_taken(f, _LARGE[0], n) for f in (S.fold_33, S.fold_31)) < len(_LARGE[0])
 
 
+def test_rotation_takes_a_block_at_a_time():
+    for n in _LARGE[1]:
+        assert _taken(S.fold_rotate, _LARGE[0], n) < len(_LARGE[0])
+
+
 def test_batches_are_folded_where_they_lie():
     values = pa.array([b"\0" * (4 << 10)] * (8 << 10), pa.binary())
     assert _taken(S.folded, S.fold_shift, values) < values.nbytes
@@ -150,9 +155,9 @@ def test_reads_check_the_last_byte_of_long_bodies(spark):
 def test_checksums_of_small_blocks(values, size):
     data, n = np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values], np.int64)
     with pytest.MonkeyPatch.context() as patch:
-        want = [f(data, n).tolist() for f in (S.fold_shift, S.fold_31, S.fold_33)]
+        want = [f(data, n).tolist() for f in (S.fold_shift, S.fold_rotate, S.fold_31, S.fold_33)]
         patch.setattr(S, "BLOCK_BYTES", size)
-        assert [f(data, n).tolist() for f in (S.fold_shift, S.fold_31, S.fold_33)] == want
+        assert [f(data, n).tolist() for f in (S.fold_shift, S.fold_rotate, S.fold_31, S.fold_33)] == want
 
 
 def test_raw_bytes_of_a_part():

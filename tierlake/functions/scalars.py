@@ -195,13 +195,6 @@ def fold_shift(data: np.ndarray, n: np.ndarray) -> np.ndarray:
     return _in_blocks(_shift_block, _shift_join, data, n).astype(np.int64)
 
 
-def fold_rotate(data: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """c = rotate-left(c, 1) ^ byte over the bytes of each value: a byte's rotation depends on its distance to the end modulo 32."""
-    turn = (_to_end(n) % 32).astype(np.uint64)
-    wide = data.astype(np.uint64) << turn
-    return _reduced(np.bitwise_xor, (wide & np.uint64(U32)) ^ (wide >> np.uint64(32)), n).astype(np.int64)
-
-
 def _reduced(of: np.ufunc, x: np.ndarray, n: np.ndarray) -> np.ndarray:
     out = np.zeros(len(n), x.dtype)
     some = n > 0
@@ -210,6 +203,21 @@ def _reduced(of: np.ufunc, x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rotated(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    wide = x.astype(np.uint64) << (turn % 32).astype(np.uint64)
+    return (wide ^ (wide >> np.uint64(32))).astype(np.uint32)
+
+
+def _rotate_block(data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A byte's rotation depends on its distance to the end modulo 32."""
+    return _reduced(np.bitwise_xor, _rotated(data, _to_end(n)), n)
+
+
+def fold_rotate(data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """c = rotate-left(c, 1) ^ byte over the bytes of each value."""
+    return _in_blocks(_rotate_block, lambda c, n, x: _rotated(c, n) ^ x, data, n).astype(np.int64)
+
+
 @functools.lru_cache(8)
 def _powers(base: int, most: int) -> np.ndarray:
     """base ** 0 to base ** most modulo 2^32."""
