@@ -6,6 +6,7 @@ import random
 import subprocess
 import sys
 import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tierlake.config import Config
 from tierlake.functions import scalars as S
-from tierlake.operators import evict, lookup, objects, oplog, stats
+from tierlake.operators import codec, evict, lookup, objects, oplog, stats
 from tierlake.plans.prefix import nearest_below, running
 from tierlake.sources import tables
 from tierlake.streaming import jobs
@@ -138,6 +139,19 @@ def test_rotation_takes_a_block_at_a_time():
         assert _taken(S.fold_rotate, _LARGE[0], n) < len(_LARGE[0])
 
 
+def test_compressed_sizes_keep_no_values():
+    values = pa.array([os.urandom(1 << 20)] * 32 + [None, b""], pa.binary())
+    assert _taken(codec.compressed_sizes, values, 1) < 8 << 20
+    assert codec.compressed_sizes(values[31:], 6).to_pylist() == [len(zlib.compress(values[31].as_py(), 6)), None, 8]
+
+
+def test_codec_nulls(spark):
+    values = spark.createDataFrame([(b"a" * 3_000_000,), (b"",), (None,)], "v binary")
+    packed = codec.compressor(6)(F.col("v"))
+    got = values.select((codec.decompress(packed) == F.col("v")).alias("same"), (codec.size_after(6)(F.col("v")) == F.octet_length(packed)).alias("size")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (True, True), (None, None)]
+
+
 def test_batches_are_folded_where_they_lie():
     values = pa.array([b"\0" * (4 << 10)] * (8 << 10), pa.binary())
     assert _taken(S.folded, S.fold_shift, values) < values.nbytes

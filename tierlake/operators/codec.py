@@ -3,24 +3,44 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, LongType
+
+
+def mapped(f, values: pa.Array) -> Iterator:
+    """f of each binary value, read where it lies in Arrow's buffer; None of a null."""
+    return (f(v.as_buffer()) if v.is_valid else None for v in values)
 
 
 def compressor(level: int = 6):
-    @F.pandas_udf(BinaryType())
-    def compress(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else zlib.compress(bytes(v), level))
+    @F.arrow_udf(BinaryType())
+    def compress(values: pa.Array) -> pa.Array:
+        return pa.array(mapped(lambda v: zlib.compress(v, level), values), pa.binary())
 
     return compress
 
 
-@F.pandas_udf(BinaryType())
-def decompress(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else zlib.decompress(bytes(v)))
+def compressed_sizes(values: pa.Array, level: int) -> pa.Array:
+    return pa.array(mapped(lambda v: len(zlib.compress(v, level)), values), pa.int64())
+
+
+def size_after(level: int = 6):
+    """The compressed value's number of bytes; the value itself is dropped before the next one."""
+
+    @F.arrow_udf(LongType())
+    def size(values: pa.Array) -> pa.Array:
+        return compressed_sizes(values, level)
+
+    return size
+
+
+@F.arrow_udf(BinaryType())
+def decompress(values: pa.Array) -> pa.Array:
+    return pa.array(mapped(zlib.decompress, values), pa.binary())
 
 
 def ratios(sizes: DataFrame, by: str) -> DataFrame:

@@ -441,8 +441,8 @@ def compression_stats(spark, d):
 
 @query()
 def codec_stats(spark, d):
-    packed = codec.compressor(6)(F.encode("text", "UTF-8"))
-    sizes = _objects(spark, d).select(S.tier_of(F.col("size")).alias("tier"), F.col("size").alias("total"), F.octet_length(packed).cast("long").alias("compressed"))
+    packed = codec.size_after(6)(F.encode("text", "UTF-8"))
+    sizes = _objects(spark, d).select(S.tier_of(F.col("size")).alias("tier"), F.col("size").alias("total"), packed.alias("compressed"))
     return codec.ratios(sizes, "tier")
 
 
