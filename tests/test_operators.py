@@ -157,6 +157,23 @@ def test_batches_are_folded_where_they_lie():
     assert _taken(S.folded, S.fold_shift, values) < values.nbytes
 
 
+def _long_values():
+    rng = random.Random(5)
+    return pa.array([rng.randbytes(3 * S.BLOCK_BYTES + 5), None, b"", rng.randbytes(S.BLOCK_BYTES), rng.randbytes(S.BLOCK_BYTES + 1), b"x"], pa.binary())
+
+
+def test_shift_of_values_longer_than_a_block():
+    values = _long_values()
+    want = []
+    for raw in values.to_pylist():
+        c = 0
+        for b in raw or b"":
+            c = (c << 1 & S.U32) ^ b
+            c ^= c >> 16
+        want.append(None if raw is None else c)
+    assert S.folded(S.fold_shift, values).to_pylist() == want
+
+
 def test_reads_check_the_last_byte_of_long_bodies(spark):
     body = "é0123456789" * 60_000
     rows = [(0, body, body), (1, body, body[:-1]), (2, body, body[:-1] + "0"), (3, body, "0" + body[:-1]), (4, body, None)]
