@@ -174,6 +174,18 @@ def test_shift_of_values_longer_than_a_block():
     assert S.folded(S.fold_shift, values).to_pylist() == want
 
 
+def test_hashes_of_values_longer_than_a_block():
+    values = _long_values()
+    for fold, base, start, finish in ((S.fold_31, 31, 0, lambda h: h & 0x7FFFFFFF or 1), (S.fold_33, 33, 5381, lambda h: min(h, (1 << 32) - h) + 1)):
+        want = []
+        for raw in values.to_pylist():
+            h = start
+            for b in raw or b"":
+                h = (h * base + b) & S.U32
+            want.append(None if raw is None else finish(h))
+        assert S.folded(fold, values).to_pylist() == want
+
+
 def test_reads_check_the_last_byte_of_long_bodies(spark):
     body = "é0123456789" * 60_000
     rows = [(0, body, body), (1, body, body[:-1]), (2, body, body[:-1] + "0"), (3, body, "0" + body[:-1]), (4, body, None)]
