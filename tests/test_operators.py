@@ -157,6 +157,20 @@ def test_batches_are_folded_where_they_lie():
     assert _taken(S.folded, S.fold_shift, values) < values.nbytes
 
 
+def _taken_of_a_batch(fold) -> float:
+    """The most that a fold takes of a batch of 60 KB values, Arrow's memory included, as a share of the batch."""
+    values, pool, usual = pa.array([b"\1" * 60_000] * 560, pa.binary()), pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        return (_taken(S.folded, fold, values) + pool.max_memory()) / values.nbytes
+    finally:
+        pa.set_memory_pool(usual)
+
+
+def test_shift_of_a_batch_of_long_values():
+    assert _taken_of_a_batch(S.fold_shift) < 1
+
+
 def _long_values():
     rng = random.Random(5)
     return pa.array([rng.randbytes(3 * S.BLOCK_BYTES + 5), None, b"", rng.randbytes(S.BLOCK_BYTES), rng.randbytes(S.BLOCK_BYTES + 1), b"x"], pa.binary())
