@@ -171,6 +171,10 @@ def test_shift_of_a_batch_of_long_values():
     assert _taken_of_a_batch(S.fold_shift) < 1
 
 
+def test_hashes_of_a_batch_of_long_values():
+    assert max(map(_taken_of_a_batch, (S.fold_31, S.fold_33))) < 1
+
+
 def _long_values():
     rng = random.Random(5)
     return pa.array([rng.randbytes(3 * S.BLOCK_BYTES + 5), None, b"", rng.randbytes(S.BLOCK_BYTES), rng.randbytes(S.BLOCK_BYTES + 1), b"x"], pa.binary())
