@@ -5,6 +5,8 @@ import math
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tierlake.queries import ORACLE_SQL, QUERIES
@@ -41,3 +43,14 @@ def test_query(name, spark, duck):
     assert sorted(out.columns) == columns
     at = [out.columns.index(c) for c in columns]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in out.fetchall())
+
+
+#: Null and empty texts, zero bytes, and texts at and above a block's length.
+ODD_TEXTS = [None, "", "\0", "a\0b", "é😀", None, "x" * (256 << 10), "é" * (128 << 10) + "a", ""]
+
+
+@pytest.mark.parametrize("name", ["checksum_shift", "checksum_rotl"])
+def test_checksums_of_odd_texts(name, spark, tmp_path):
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(ODD_TEXTS)), pa.int64()), "text": pa.array(ODD_TEXTS, pa.string())}), tmp_path / "documents.parquet")
+    want = duckdb.connect().execute(ORACLE_SQL[name].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want)

@@ -270,7 +270,8 @@ def _fold(seed: int, step: str, finish: str = "{f}") -> str:
 
 
 def _checksums(spark, d, of):
-    return table(spark, d, "documents").select("doc_id", of(F.col("text")).alias("checksum"))
+    """As in its SQL, a null text has no bytes and keeps the fold's start."""
+    return table(spark, d, "documents").select("doc_id", of(F.coalesce("text", F.lit(""))).alias("checksum"))
 
 
 @query(_fold(0, "xor(xor((c << 1) & 4294967295, b), xor((c << 1) & 4294967295, b) >> 16)"))
