@@ -49,7 +49,7 @@ def test_query(name, spark, duck):
 ODD_TEXTS = [None, "", "\0", "a\0b", "é😀", None, "x" * (256 << 10), "é" * (128 << 10) + "a", ""]
 
 
-@pytest.mark.parametrize("name", ["checksum_shift", "checksum_rotl"])
+@pytest.mark.parametrize("name", ["checksum_shift", "checksum_rotl", "hash31", "hash33"])
 def test_checksums_of_odd_texts(name, spark, tmp_path):
     pq.write_table(pa.table({"doc_id": pa.array(range(len(ODD_TEXTS)), pa.int64()), "text": pa.array(ODD_TEXTS, pa.string())}), tmp_path / "documents.parquet")
     want = duckdb.connect().execute(ORACLE_SQL[name].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'")).fetchall()
