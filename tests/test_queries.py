@@ -54,3 +54,29 @@ def test_checksums_of_odd_texts(name, spark, tmp_path):
     pq.write_table(pa.table({"doc_id": pa.array(range(len(ODD_TEXTS)), pa.int64()), "text": pa.array(ODD_TEXTS, pa.string())}), tmp_path / "documents.parquet")
     want = duckdb.connect().execute(ORACLE_SQL[name].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'")).fetchall()
     assert sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def _large_texts(folder):
+    """Documents around a large object's least size, around 6,000 bytes and above a checksum's block; some spell the same both ways."""
+    texts = [None, "", "a" * 128, "a" * 2048, "a" * 2049, "é" * 1024 + "a", "ab" * 3000, "ab" * 3000 + "c", "a" * 6001, "é" * 3001, None, "ab" * 9000, "x" * 70_000, "é0" * 100_000]
+    texts = {i * 11 + shift: t for i, t in enumerate(texts) for shift in range(3)}
+    pq.write_table(pa.table({"doc_id": pa.array(texts, pa.int64()), "text": pa.array(texts.values(), pa.string())}), folder / "documents.parquet")
+    return {i: t for i, t in sorted(texts.items()) if t is not None and len(t.encode()) > 2048}
+
+
+def _fold_shift(text):
+    c = 0
+    for b in text.encode():
+        c = (c << 1 & 0xFFFFFFFF) ^ b
+        c ^= c >> 16
+    return c
+
+
+def test_object_read_of_every_large_object(spark, tmp_path):
+    want = []
+    for i, text in _large_texts(tmp_path).items():
+        there = None if i % 7 == 3 else text[:-1] if i % 5 == 0 else text[::-1] if i % 5 == 1 else text
+        want.append((i, "OK" if there == text else "IO_ERROR"))
+    assert sorted(QUERIES["object_read"](spark, str(tmp_path)).select("seq", "status").collect()) == want
+    sql = ORACLE_SQL["object_read"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'")
+    assert sorted(duckdb.connect().sql(sql).select("seq, status").fetchall()) == want

@@ -80,14 +80,14 @@ def pointer_equal(spark, d):
 
 
 _SHIFT = _fold(0, "xor(xor((c << 1) & 4294967295, b), xor((c << 1) & 4294967295, b) >> 16)").replace("FROM documents", "FROM big")
-_STORED = f"""WITH b AS (SELECT doc_id, text, octet_length(encode(text))::BIGINT AS size FROM documents WHERE octet_length(encode(text)) BETWEEN 2049 AND 6000),
+_STORED = f"""WITH b AS (SELECT doc_id, text, octet_length(encode(text))::BIGINT AS size FROM documents WHERE octet_length(encode(text)) > 2048),
 big AS (SELECT * FROM b), written AS (SELECT doc_id, (sum((size + 4095) // 4096 * 4096) OVER (ORDER BY doc_id) - (size + 4095) // 4096 * 4096)::BIGINT AS lba, size FROM b), sums AS ({_SHIFT})"""
 
 
 def _written(spark, d):
-    """Documents of a large object's size, appended to storage: place, size, body, checksum."""
-    docs = table(spark, d, "documents").select("doc_id", "text", F.octet_length("text").cast("long").alias("size")).where("size BETWEEN 2049 AND 6000")
-    placed = objects.appended(docs.select(F.col("doc_id").alias("seq"), "size", F.col("text").alias("body")), DEFAULT.alignment)
+    """All documents of a large object's size, appended to storage: place, size, body, checksum."""
+    docs = _objects(spark, d).where(F.col("size") > DEFAULT.medium)
+    placed = objects.appended(docs.select("seq", "size", F.col("text").alias("body")), DEFAULT.alignment)
     return placed.withColumn("checksum", S.checksum_shift(F.col("body")))
 
 
