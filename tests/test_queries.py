@@ -80,3 +80,14 @@ def test_object_read_of_every_large_object(spark, tmp_path):
     assert sorted(QUERIES["object_read"](spark, str(tmp_path)).select("seq", "status").collect()) == want
     sql = ORACLE_SQL["object_read"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'")
     assert sorted(duckdb.connect().sql(sql).select("seq, status").fetchall()) == want
+
+
+def test_object_write_of_every_large_object(spark, tmp_path):
+    want, lba = [], 0
+    for i, text in _large_texts(tmp_path).items():
+        size = len(text.encode())
+        want.append((i, lba, size, _fold_shift(text)))
+        lba += -(-size // 4096) * 4096
+    assert sorted(QUERIES["object_write"](spark, str(tmp_path)).select("seq", "lba", "size", "checksum").collect()) == want
+    sql = ORACLE_SQL["object_write"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'")
+    assert sorted(duckdb.connect().sql(sql).select("seq, lba, size, checksum").fetchall()) == want
